@@ -1,0 +1 @@
+"""weftline.plans."""

@@ -1,0 +1 @@
+"""weftline.streaming."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, exact_dedup
+from weftline.llm import chat_format, exact_dedup, mixing, packing, topk
 from weftline.runtime import table
 
 
@@ -54,12 +54,95 @@ WITH t AS (
 SELECT conv_id, n_turns, sha256(lines) AS turns_sha256, CAST(length(loss) AS BIGINT) AS loss_chars, sha256(loss) AS loss_sha256, CAST(formatted_chars AS BIGINT) AS formatted_chars FROM g
 """
 
+
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.best_fit_pack(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
+OP5_SQL = r"""
+WITH d AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size FROM documents
+), s0 AS (
+  SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source
+), s1 AS (
+  SELECT *, ((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::BIGINT AS w FROM s0
+), s2 AS (
+  SELECT *, (sum(source_size) OVER () - (sum(3 * source_size) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 3 * source_size))::BIGINT AS rest,
+         (sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::BIGINT AS ws
+  FROM s1 WINDOW o AS (ORDER BY 3 * source_size / w, source NULLS LAST)
+), s3 AS (
+  SELECT *, 3 * source_size * ws <= w * rest AS is_full FROM s2
+), s4 AS (
+  SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE) ELSE
+    CAST(w * (sum(source_size) OVER () - sum(CASE WHEN is_full THEN 3 * source_size ELSE 0 END) OVER ())::BIGINT AS DOUBLE) / (sum(CASE WHEN is_full THEN 0 ELSE w END) OVER ())::BIGINT END AS target
+  FROM s3
+), r0 AS (
+  SELECT d.*, s4.source_size, s4.target, CASE WHEN s4.source_size > 0 THEN least(3.0::DOUBLE, target / s4.source_size) ELSE 0::DOUBLE END AS e,
+         (('0x' || substr(md5('mix|' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 12))::BIGINT::DOUBLE + 0.5::DOUBLE) / 281474976710656.0::DOUBLE AS u
+  FROM d JOIN s4 ON d.source IS NOT DISTINCT FROM s4.source
+), r1 AS (
+  SELECT *, floor(e)::BIGINT AS copies, CASE WHEN size > 0 AND e - floor(e) > 0 THEN (u / (1 - u)) / ((e - floor(e)) / (1 - (e - floor(e)))) END AS q FROM r0
+), r2 AS (
+  SELECT *, floor(q / (1 + q) * 68719476736.0::DOUBLE)::BIGINT AS rank FROM r1
+), r3 AS (
+  SELECT *, target - (sum(copies * size) OVER (PARTITION BY source))::BIGINT AS gap0,
+         sum(CASE WHEN rank IS NOT NULL THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY rank NULLS LAST RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS upto
+  FROM r2
+), r4 AS (
+  SELECT *, coalesce(min(CASE WHEN rank IS NOT NULL AND upto > gap0 THEN rank END) OVER (PARTITION BY source), 68719476736) AS low FROM r3
+), f0 AS (
+  SELECT *, gap0 - (sum(CASE WHEN rank < low THEN size ELSE 0 END) OVER (PARTITION BY source))::BIGINT AS gap, rank < low AS hit FROM r4
+), f1 AS (
+  SELECT *, max(CASE WHEN NOT hit AND size <= gap THEN {'s': size, 'r': -rank} END) OVER (PARTITION BY source) AS b1 FROM f0
+), f2 AS (
+  SELECT * REPLACE (hit OR (b1 IS NOT NULL AND rank = -b1.r) AS hit, gap - coalesce(b1.s, 0) AS gap) FROM f1
+), f3 AS (
+  SELECT *, max(CASE WHEN NOT hit AND size <= gap THEN {'s': size, 'r': -rank} END) OVER (PARTITION BY source) AS b2 FROM f2
+), f4 AS (
+  SELECT * REPLACE (hit OR (b2 IS NOT NULL AND rank = -b2.r) AS hit, gap - coalesce(b2.s, 0) AS gap) FROM f3
+), f5 AS (
+  SELECT *, max(CASE WHEN NOT hit AND size <= gap THEN {'s': size, 'r': -rank} END) OVER (PARTITION BY source) AS b3 FROM f4
+), f6 AS (
+  SELECT * REPLACE (hit OR (b3 IS NOT NULL AND rank = -b3.r) AS hit) FROM f5
+)
+SELECT doc_id, size, source_size, target, size * (copies + coalesce(hit, FALSE)::BIGINT) AS taken FROM f6
+"""
+
+
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+OP10_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, CAST(list_inner_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id % 50 = 0 AND c.vec_id <> q.vec_id
+), r AS (
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM p
+)
+SELECT * FROM r WHERE rank <= 5
+"""
+
 QUERIES = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
+    "op5_source_mixing": op5_source_mixing,
     "op9_chat_formatting": op9_chat_formatting,
+    "op10_exact_topk": op10_exact_topk,
 }
 
 ORACLE_SQL = {
     "op4_exact_dedup": OP4_SQL,
+    "op5_source_mixing": OP5_SQL,
     "op9_chat_formatting": OP9_SQL,
+    "op10_exact_topk": OP10_SQL,
 }

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,6 +36,15 @@ def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def on_workers(spark: SparkSession) -> None:
+    """Let Python workers import this package by its place; clusters that don't share that folder get it by --py-files."""
+    root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    have = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in have:
+        env["PYTHONPATH"] = os.pathsep.join([root, *have])
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's tables."""
+    on_workers(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

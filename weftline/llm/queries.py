@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, exact_dedup, mixing, packing, topk
-from weftline.runtime import table
+from weftline.llm import chat_format, exact_dedup, mixing, packing, token_store, topk, toxicity
+from weftline.runtime import scratch_dir, table
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -114,6 +116,18 @@ SELECT doc_id, size, source_size, target, size * (copies + coalesce(hit, FALSE):
 """
 
 
+def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{scratch_dir(spark)}/weftline-shards-{uuid.uuid4().hex}"
+    token_store.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
+    return token_store.read_documents(spark, path)
+
+
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels"))
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -136,6 +150,8 @@ QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
+    "op6_token_store": op6_token_store,
+    "op7_toxicity": op7_toxicity,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_exact_topk": op10_exact_topk,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, exact_dedup, html_main, mixing, packing, token_store, topk, toxicity
+from weftline.llm import chat_format, exact_dedup, html_main, mixing, ngram_join, packing, token_store, topk, toxicity
 from weftline.runtime import scratch_dir, table
 
 
@@ -65,6 +65,10 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_main.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.pareto_mix(docs).select("doc_id", "size", "source_size", "target", "taken")
@@ -153,6 +157,7 @@ SELECT * FROM r WHERE rank <= 5
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_main_text": op2_html_main_text,
+    "op3_ngram_join": op3_ngram_join,
     "op4_exact_dedup": op4_exact_dedup,
     "op5_source_mixing": op5_source_mixing,
     "op6_token_store": op6_token_store,

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, exact_dedup, html_main, mixing, ngram_join, packing, token_store, topk, toxicity
+from weftline.llm import chat_format, exact_dedup, html_main, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
 from weftline.runtime import scratch_dir, table
 
 
@@ -136,6 +136,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return para_dedup.repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"))
@@ -162,6 +166,7 @@ QUERIES = {
     "op5_source_mixing": op5_source_mixing,
     "op6_token_store": op6_token_store,
     "op7_toxicity": op7_toxicity,
+    "op8_passage_dedup": op8_passage_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_exact_topk": op10_exact_topk,
 }

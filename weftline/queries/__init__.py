@@ -1,4 +1,6 @@
 """Spark queries over the driver's tables, each beside its DuckDB oracle."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from weftline.queries import annotate, relate
+from weftline.queries.registry import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES", "annotate", "relate"]

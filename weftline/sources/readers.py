@@ -113,7 +113,7 @@ def calls_by_folder(from_json: DataFrame, from_report: DataFrame, folder: str =
 def python_list(cell: Column) -> Column:
     """array<string> of a Python list written as text; split at commas where it is no such list."""
     strict = F.from_json(F.translate(cell, "'", '"'), "array<string>")
-    loose = F.filter(F.transform(F.split(F.translate(cell, "[]'\"", ""), ","), F.trim), lambda x: x != "")
+    loose = F.filter(F.transform(F.split(F.translate(cell, "[]'\"", ""), ","), lambda t: F.trim(t)), lambda x: x != "")
     return F.coalesce(strict, loose)
 
 
@@ -137,7 +137,7 @@ def read_indexed_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
 def parse_indexed_text(records: DataFrame, value: str = "value") -> DataFrame:
     """id, elements of records `>id`, newline, `0, 1, 2`. Tokens that are no integers are dropped; signs are allowed."""
     lines = F.split(F.regexp_replace(value, "^>", ""), "\n")
-    tokens = F.transform(F.split(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), ","), ","), F.trim)
+    tokens = F.transform(F.split(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), ","), ","), lambda t: F.trim(t))
     whole = F.filter(tokens, lambda t: t.rlike("^-*[0-9]+$"))
     return records.select(F.trim(lines[0]).alias("id"), F.filter(F.transform(whole, lambda t: t.try_cast("int")), lambda t: t.isNotNull()).alias("elements")).where("id <> ''")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Labelled rows of each class that the fit reads at most, the first ones by a hash of their ids.
-MOST_TOXIC, MOST_CLEAN = 2000, 3000
+MOST_TOXIC, MOST_CLEAN = 1000, 2000
 WINDOW, DIM, BUCKETS, GRAMS = 32, 8, 1 << 19, (3, 4, 5, 6)
 #: Buckets found in fewer training documents keep a zero vector: what a document or two hold says nothing.
 LEAST_DOCS = 3

@@ -1,6 +1,6 @@
 """Spark queries over the driver's tables, each beside its DuckDB oracle."""
 
-from weftline.queries import annotate, compared, relate
+from weftline.queries import annotate, compared, prepared, relate
 from weftline.queries.registry import ORACLE_SQL, QUERIES
 
-__all__ = ["ORACLE_SQL", "QUERIES", "annotate", "compared", "relate"]
+__all__ = ["ORACLE_SQL", "QUERIES", "annotate", "compared", "prepared", "relate"]

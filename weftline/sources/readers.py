@@ -16,12 +16,13 @@ def read_results(spark: SparkSession, root: str, recursive: bool = True) -> tupl
 
     All result.json at any depth, or those in Result_* folders one level down. A broken file costs its own rows only.
     """
-    reader = spark.read.schema(schemas.RESULT + ", _corrupt_record string").option("multiLine", True).option("mode", "PERMISSIVE")
+    reader = spark.read.option("wholetext", True)
     if recursive:
-        rows = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "result.json").json(root)
+        files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "result.json").text(root)
     else:
-        rows = reader.json(f"{root}/Result_*/result.json")
-    rows = rows.select(F.col("_metadata.file_path").alias("source"), "Sequences", "_corrupt_record")
+        files = reader.text(f"{root}/Result_*/result.json")
+    parsed = F.from_json("value", schemas.RESULT + ", _corrupt_record string", {"mode": "PERMISSIVE"})
+    rows = files.select(F.col("_metadata.file_path").alias("source"), parsed.alias("d")).select("source", "d.*")
     return rows.where("_corrupt_record IS NULL").drop("_corrupt_record"), rows.where("_corrupt_record IS NOT NULL").select("source")
 
 

@@ -9,7 +9,9 @@ page (adverts, menus drawn anew) goes by its element, and a line inside the arti
 from __future__ import annotations
 
 import html
+import json
 import re
+import zlib
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -110,6 +112,14 @@ def lines(page: str | None) -> list[Line]:
     return out
 
 
+def pack_lines(own: list[Line]) -> bytes:
+    return zlib.compress(json.dumps([(x.text, x.article, x.other) for x in own], ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
+
+
+def unpack_lines(packed: bytes) -> list[Line]:
+    return [Line(*x) for x in json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))]
+
+
 def shared_lines(mine: list[str], theirs: list[str]) -> set[int]:
     """Places in `mine` of one longest common subsequence with `theirs` (Hunt and Szymanski's way)."""
     head = 0
@@ -172,14 +182,23 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows are neighbours and each give a row. Other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"), host.alias("host"), path.alias("path"))
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # Markup stays behind: only the packed text lines are shuffled.
+        for batch in batches:
+            batch["id"] = batch["id"].astype("Int64")
+            batch["packed"] = [pack_lines(lines(x)) for x in batch["html"]]
+            yield batch.drop(columns="html")
+
+    rows = rows.mapInPandas(parse, "id long, url string, host string, path string, packed binary")
     rows = rows.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    yield row.id, row.url, row.host, row.path, lines(row.html)
+                    yield row.id, row.url, row.host, row.path, unpack_lines(row.packed)
 
         def done(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
             near = [x for x in (before, after) if x is not None and x[2] == row[2]]

@@ -129,13 +129,12 @@ class Bins:
                 self.room[b] += change
                 room[place[b]] = self.room[b]
                 back[place[b]] = self._backs(b)
-                if not self.room[b]:
-                    closed[place[b]] = True
             if not self.items[giver]:
                 n_bins -= 1
-                room[k], closed[k] = 0, True
-                stuck.clear()
-                closed &= (room == 0)
+                room[k] = 0
+            # Other bins may find something now.
+            stuck.clear()
+            closed = room == 0
 
     def _backs(self, b: int) -> list[int]:
         own = [int(self.lengths[i]) for i in self.items[b][:_SHOWN]]

@@ -153,7 +153,7 @@ class Shard:
             return np.full(len(keys), -1, np.int64), np.full(len(keys), -1, np.int64)
         rows = self.by_slot[slots]
         known = (slots >= 0) & (rows["print"] == _fingerprint(keys))
-        return np.where(known, rows["offset"], -1).astype(np.int64), np.where(known, rows["length"], -1).astype(np.int64)
+        return np.where(known, rows["offset"].astype(np.int64), -1), np.where(known, rows["length"].astype(np.int64), -1)
 
     def tokens(self, offset: int, length: int) -> np.ndarray:
         return np.frombuffer(self.payload, f"<u{self.width}", length, offset * self.width).astype("<u4")

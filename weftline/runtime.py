@@ -24,15 +24,20 @@ def scratch_dir(spark: SparkSession) -> str:
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
+def materialize(df: DataFrame, name: str = "rows", release: bool = False) -> DataFrame:
     """Write df once to the shared scratch folder as Parquet and read it back.
 
+    release: the shuffles behind df are large and nothing else reads them; let the driver's JVM collect them now, so that
+    their files leave the executors' disks before the next step adds its own.
+
     Cuts the lineage: a lost executor costs a re-read of files, not a recomputation, and Python stages that feed
     several consumers run once.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if release:
+        spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -242,3 +242,20 @@ def test_passages(spark, docs, none):
 def test_bands_reach_the_recall():
     bands, rows = para_dedup.tune_bands(0.75, 0.97)
     assert 1 - (1 - 0.75**rows) ** bands >= 0.97 > 1 - (1 - 0.75**rows) ** (bands - 1)
+
+
+@pytest.mark.parametrize("allowed", [200_000, 0])
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, allowed):
+    # Ten pairs of near copies without a common window, all in one bucket.
+    real = para_dedup.unit_rows
+    monkeypatch.setattr(para_dedup, "unit_rows", lambda *a: real(*a).withColumn("keys", F.when(F.col("keys").isNotNull(), F.array(F.lit(1).cast("long")))))
+    for module in (para_dedup, ngram_join):
+        monkeypatch.setattr(module, "LISTED_PAIRS", allowed, raising=False)
+        monkeypatch.setattr(module, "LISTED_EACH", 0, raising=False)
+    rng = np.random.default_rng(9)
+    rows = []
+    for k in range(10):
+        w = ["".join(rng.choice(list("abcdefghij"), 6)) for _ in range(44)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:22] + ["other"] + w[23:]))]
+    out = para_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in out} == {(k, k - k % 2) for k in range(20)}

@@ -4,7 +4,7 @@ Two kinds of units meet by key:
 
 * paragraphs, the lines of PARAGRAPH_WORDS words or more. MinHash values of their five-word shingles are cut into bands,
   tuned so that paragraphs at the threshold collide with the wanted probability; colliding paragraphs are verified by the
-  exact Jaccard similarity of their shingle sets.
+  exact Jaccard similarity of their shingle sets, until every two of a bucket are in one component or have been compared.
 * passages spliced into other text, which no line shows: windows of WINDOW_WORDS words at anchors that the words themselves
   choose (the smallest hash among SPREAD neighbouring places). Any run of WINDOW_WORDS + SPREAD - 1 words that two texts share
   holds a common window; these collide exactly when they are equal.
@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.ngram_join import BROADCAST_IDS, _M3, _WORDS, _mix, _signed, _texts
+from weftline.llm.ngram_join import BROADCAST_IDS, LISTED_EACH, LISTED_PAIRS, _M3, _WORDS, _mix, _signed, _texts, link_lists
 from weftline.operators.graph import components
 from weftline.runtime import materialize, on_workers
 
@@ -112,19 +112,18 @@ def unit_rows(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return texts.where("id IS NOT NULL").mapInPandas(run, "id long, start int, words int, unit long, keys array<long>")
 
 
-def _linked_paragraphs(texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
-    """(a, b): paragraph names that collide in a band and whose shingle sets are similar.
+def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the paragraph names that are linked: they collide in a band and their shingle sets are similar.
 
-    In a band each paragraph is compared with the bucket's smallest name and with the one before it in order: buckets of any size
-    cost twice their length, and other bands offer other partners.
+    In a band each paragraph is compared with the bucket's smallest name, then with every other one in the bucket that is not yet in
+    its component: buckets of linked paragraphs cost their length, and only unlinked members cost their pairs.
     """
-    keyed = rows.select("unit", F.explode("keys").alias("key")).distinct()
-    order = Window.partitionBy("key").orderBy("unit")
-    near = keyed.select("unit", F.first("unit").over(order).alias("hub"), F.lag("unit").over(order).alias("before"))
-    pairs = near.select(F.explode(F.array("hub", "before")).alias("a"), F.col("unit").alias("b")).where("a IS NOT NULL AND a <> b").distinct()
-    pairs = materialize(pairs, "pairs")
+    one = materialize(rows.groupBy("unit").agg(F.min(F.struct("id", "start", "words", "keys")).alias("o")), "one")
+    keyed = one.select("unit", F.explode("o.keys").alias("key")).distinct()
+    lists = keyed.withColumn("hub", F.min("unit").over(Window.partitionBy("key"))).where("unit <> hub")
+    lists = materialize(lists.select("key", "hub", F.col("unit").alias("node")), "lists")
+    pairs = materialize(lists.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
-    one = rows.groupBy("unit").agg(F.min(F.struct("id", "start", "words")).alias("o"))
     asked = materialize(asked.join(one, "unit").select("unit", "o.id", "o.start", "o.words"), "asked")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -135,11 +134,18 @@ def _linked_paragraphs(texts: DataFrame, rows: DataFrame, percent: int) -> DataF
                 sets.append(_signed(paragraph_shingles(h, start, min(len(h), start + words))))
             yield pd.DataFrame({"unit": batch["unit"], "tokens": sets})
 
-    few = asked.count() <= BROADCAST_IDS
+    n_asked = asked.count()
+    few = n_asked <= BROADCAST_IDS
     sets = texts.join(F.broadcast(asked) if few else asked, "id").select("unit", "start", "words", "text").mapInPandas(run, "unit long, tokens array<long>")
-    both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("unit").alias("b"), F.col("tokens").alias("tb")), "b")
-    shared = F.size(F.array_intersect("ta", "tb"))
-    return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
+    sets = materialize(sets, "sets")  # every member of a list is here, for all rounds
+
+    def compare(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("unit").alias("b"), F.col("tokens").alias("tb")), "b")
+        shared = F.size(F.array_intersect("ta", "tb"))
+        return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
+
+    links = materialize(compare(pairs), "links", release=True)
+    return link_lists(lists.select("key", "node"), links, pairs, max(LISTED_PAIRS, LISTED_EACH * n_asked), compare)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.97) -> DataFrame:
@@ -154,8 +160,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     bands, rows = tune_bands(percent / 100, recall)
     found = materialize(unit_rows(texts, bands, rows), "found")
     paragraphs, windows = found.where("keys IS NOT NULL"), found.where("keys IS NULL").select("id", "start", "unit")
-    links = materialize(_linked_paragraphs(texts, paragraphs, percent), "links", release=True)
-    of_paragraphs = components(links, "a", "b")
+    of_paragraphs = _paragraph_components(texts, paragraphs, percent)
     named = paragraphs.select("id", "start", "words", "unit").join(of_paragraphs, paragraphs["unit"] == of_paragraphs["node"], "left")
     named = named.select("id", "start", "words", F.coalesce("component", "unit").alias("unit"))
     shared = named.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit")

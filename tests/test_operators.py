@@ -108,6 +108,13 @@ def test_subsets(spark):
     assert len({r["size"] for r in drawn}) >= 2
 
 
+def test_long_arrays_are_enumerated_or_an_error(spark):
+    long = lambda n: spark.createDataFrame([(1, [str(k) for k in range(n)])], "id long, elements array<string>")
+    assert augment.enumerate_subsets(long(13), 12).count() == 13
+    with pytest.raises(Exception, match="over 20 elements: 21"):
+        augment.enumerate_subsets(long(21), 20).collect()
+
+
 def test_guard_distances(spark):
     c = spark.createDataFrame([(1, ["a", "b"], [])], "id long, spacers array<string>, repeats array<string>")
     h = spark.createDataFrame([(9, ["b", "c"], [])], "id long, spacers array<string>, repeats array<string>")

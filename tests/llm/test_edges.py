@@ -259,3 +259,11 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, allowed):
         rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join(w[:22] + ["other"] + w[23:]))]
     out = para_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {(r["doc_id"], r["keep_id"]) for r in out} == {(k, k - k % 2) for k in range(20)}
+
+
+def test_lists_whose_short_hashes_agree_are_both_compared(spark):
+    # The two lists have the same sum of 40-bit node hashes.
+    members = spark.createDataFrame([(1, 585), (1, 4014), (2, 2346), (2, 3142)], "key long, node long")
+    none = spark.createDataFrame([], "a long, b long")
+    found = {r["node"]: r["component"] for r in ngram_join.link_lists(members, none, none, 1000, lambda pairs: pairs).collect()}
+    assert found == {585: 585, 4014: 585, 2346: 2346, 3142: 2346}

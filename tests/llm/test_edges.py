@@ -267,3 +267,19 @@ def test_lists_whose_short_hashes_agree_are_both_compared(spark):
     none = spark.createDataFrame([], "a long, b long")
     found = {r["node"]: r["component"] for r in ngram_join.link_lists(members, none, none, 1000, lambda pairs: pairs).collect()}
     assert found == {585: 585, 4014: 585, 2346: 2346, 3142: 2346}
+
+
+def test_pages_at_the_ends_of_ranges_have_neighbours(spark):
+    rows = [(k, f"http://h/b/{k}", f"<body><p>Shared menu</p><p>Only here {k}</p><p>Shared foot</p></body>") for k in range(24)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    held = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.shuffle.partitions": "40"}
+    was = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        for n in ("40", "7"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert {(r["page_id"], r["text"]) for r in html_main.extract_main_text(pages).collect()} == {(k, f"Only here {k}") for k in range(24)}
+    finally:
+        for k, v in was.items():
+            spark.conf.set(k, v)

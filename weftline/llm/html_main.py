@@ -17,9 +17,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from weftline.runtime import materialize
+
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|math|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<",
@@ -178,7 +181,7 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
 
     A page's neighbour is the row before or after it by host, path and id, whichever shares the longer start of the path, on the same host;
     the row before on a tie. Rows are sorted across the cluster and only neighbouring rows are held in memory, so a host may be of
-    any size; the first row of a range has no row before it. Null or empty html gives an empty text, null urls are one host, repeated
+    any size; the first and last row of a range meet those of the ranges beside it. Null or empty html gives an empty text, null urls are one host, repeated
     rows are neighbours and each give a row. Other columns are ignored.
     """
     host, path = host_and_path(F.col(url_col))
@@ -194,29 +197,51 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     rows = rows.mapInPandas(parse, "id long, url string, host string, path string, packed binary")
     rows = rows.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
 
+    def done(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
+        near = [x for x in (before, after) if x is not None and x[2] == row[2]]
+        best = max(near, key=lambda x: _common(x[3], row[3]), default=None)
+        return row[0], row[1], main_text(row[4], best[4] if best else None)
+
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        # The first and last row of a range wait for the ranges beside it; the rows next to them in the range go along.
+        part = TaskContext.get().partitionId()
+        nothing = -1, -1, False, None, None, None
+
         def each() -> Iterator[tuple]:
             for batch in batches:
                 for row in batch.itertuples(index=False):
-                    yield row.id, row.url, row.host, row.path, unpack_lines(row.packed)
+                    yield row.id, row.url, row.host, row.path, unpack_lines(row.packed), row.packed
 
-        def done(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-            near = [x for x in (before, after) if x is not None and x[2] == row[2]]
-            best = max(near, key=lambda x: _common(x[3], row[3]), default=None)
-            return row[0], row[1], main_text(row[4], best[4] if best else None)
+        def edge(row: tuple, at: int, asked: bool) -> tuple:
+            return row[0], row[1], None, part, at, asked, row[2], row[3], row[5]
 
         before = row = None
+        at = -1
         out: list[tuple] = []
         for after in each():
             if row is not None:
-                out.append(done(before, row, after))
+                out += [edge(row, at, True)] if at == 0 else [(*done(before, row, after), *nothing)]
+                if at == 1:
+                    out.append(edge(row, at, False))
                 if len(out) >= 500:
-                    yield pd.DataFrame(out, columns=["id", "url", "text"])
+                    yield pd.DataFrame(out, columns=names)
                     out = []
-            before, row = row, after
+            before, row, at = row, after, at + 1
         if row is not None:
-            out.append(done(before, row, None))
+            if at > 2:
+                out.append(edge(before, at - 1, False))
+            out.append(edge(row, at, True))
+        yield pd.DataFrame(out, columns=names)
+
+    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        own = [(x.id, x.url, x.host, x.path, unpack_lines(x.packed), x.asked) for batch in batches for x in batch.itertuples(index=False)]
+        out = [done(own[k - 1] if k else None, x, own[k + 1] if k + 1 < len(own) else None) for k, x in enumerate(own) if x[5]]
         yield pd.DataFrame(out, columns=["id", "url", "text"])
 
-    texts = rows.mapInPandas(extract, "id long, url string, text string")
+    kinds = "id long, url string, text string, part int, at long, asked boolean, host string, path string, packed binary"
+    names = [x.split()[0] for x in kinds.split(", ")]
+    found = materialize(rows.mapInPandas(extract, kinds), "texts")
+    # At most four rows a range, so one task whatever the input.
+    edges = found.where("packed IS NOT NULL").repartition(1).sortWithinPartitions("part", "at")
+    texts = found.where("packed IS NULL").select("id", "url", "text").unionByName(edges.mapInPandas(settle, "id long, url string, text string"))
     return texts.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))

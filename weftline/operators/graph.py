@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.runtime import materialize
+from weftline.runtime import discard, materialize
 
 
 def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -24,6 +24,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
         target = hooked.select(F.col("node").alias("t"), F.col("next").alias("t_next"))
         jumped = hooked.join(target, hooked["next"] == target["t"]).select("node", F.least("next", "t_next").alias("label"), "was")
         step = materialize(jumped, "labels")
+        discard(labels)
+        labels = step
         if step.where("label <> was").limit(1).count() == 0:
-            return step.select("node", F.col("label").alias("component"))
-        labels = step.select("node", "label")
+            discard(both)
+            found = step.select("node", F.col("label").alias("component"))
+            found.scratch = step.scratch
+            return found

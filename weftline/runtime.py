@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset (tests), a local one."""
+    """The folder all executors share: spark.checkpoint.dir, or, only where that is unset and Spark runs in one process (tests), a local one."""
     set_by_cluster = spark.conf.get("spark.checkpoint.dir", None)
     if set_by_cluster:
         return set_by_cluster.rstrip("/")
@@ -19,26 +19,47 @@ def scratch_dir(spark: SparkSession) -> str:
     have = context._jsc.sc().getCheckpointDir()
     if have.isDefined():
         return str(have.get()).rstrip("/")
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="weftline-")
     context.setCheckpointDir(own)
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-def materialize(df: DataFrame, name: str = "rows", release: bool = False) -> DataFrame:
-    """Write df once to the shared scratch folder as Parquet and read it back.
+#: Removes the shuffle files of a query when it ends (Spark 4.1).
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
-    release: the shuffles behind df are large and nothing else reads them; let the driver's JVM collect them now, so that
-    their files leave the executors' disks before the next step adds its own.
+def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
+    """Write df once to the shared scratch folder as Parquet and read it back.
 
     Cuts the lineage: a lost executor costs a re-read of files, not a recomputation, and Python stages that feed
-    several consumers run once.
+    several consumers run once. The shuffle files behind df go when the write ends; the written ones when `discard` is told.
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if release:
-        spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
+    was = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, was)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.scratch = path
+    return written
+
+
+def discard(*written: DataFrame) -> None:
+    """Delete what `materialize` wrote for these frames; nothing may read them, or frames made from them, any more."""
+    for df in written:
+        if path := df.__dict__.pop("scratch", None):
+            delete(df.sparkSession, path)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder on whatever file system holds it."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def on_workers(spark: SparkSession) -> None:

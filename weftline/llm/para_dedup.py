@@ -144,7 +144,7 @@ def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> Da
         shared = F.size(F.array_intersect("ta", "tb"))
         return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
 
-    links = materialize(compare(pairs), "links", release=True)
+    links = materialize(compare(pairs), "links")
     return link_lists(lists.select("key", "node"), links, pairs, max(LISTED_PAIRS, LISTED_EACH * n_asked), compare)
 
 
@@ -166,10 +166,10 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = named.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit")
     spans = named.join(shared, "unit").select("id", "start", (F.col("start") + F.col("words")).alias("end"), F.xxhash64(F.lit("paragraph"), "unit").alias("unit"))
 
-    common = materialize(windows.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit"), "common", release=True)
+    common = materialize(windows.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit"), "common")
     few = common.count() <= BROADCAST_IDS
     hits = windows.join(F.broadcast(common) if few else common, "unit").select("id", "start", (F.col("start") + WINDOW_WORDS).alias("end"), "unit")
-    units = materialize(hits.unionByName(spans), "units", release=True)
+    units = materialize(hits.unionByName(spans), "units")
 
     # Overlapping units of a document are one span: a new one begins where no unit before reaches.
     order = Window.partitionBy("id").orderBy("start", "end", "unit")

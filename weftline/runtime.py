@@ -26,8 +26,8 @@ def scratch_dir(spark: SparkSession) -> str:
     return str(context._jsc.sc().getCheckpointDir().get()).rstrip("/")
 
 
-#: Removes the shuffle files of a query when it ends (Spark 4.1).
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings of every write: shuffle files go when the query ends (Spark 4.1), and Python workers hold fewer rows, which may be whole texts, at a time.
+_WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
@@ -38,12 +38,14 @@ def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
     """
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
-    was = spark.conf.get(_CLEANUP, "false")
-    spark.conf.set(_CLEANUP, "true")
+    was = {key: spark.conf.get(key, None) for key in _WRITING}
     try:
+        for key, value in _WRITING.items():
+            spark.conf.set(key, value)
         df.write.parquet(path)
     finally:
-        spark.conf.set(_CLEANUP, was)
+        for key, value in was.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path
     return written

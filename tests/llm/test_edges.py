@@ -124,6 +124,34 @@ def test_ngram_join_edges(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_rows_without_an_id_keep_their_links(spark):
+    w = [f"w{k}" for k in range(60)]
+    texts = {5: w, None: w[:50] + ["x1"] + w[51:], 9: w[:50] + ["x1", "x2"] + w[52:57]}
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in texts.items()] + [(11, "alone in here")], "doc_id long, text string")
+    assert {(r["doc_id"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect()} == {(5, 5), (None, 5), (9, 5), (11, 11)}
+
+
+@pytest.mark.parametrize("aside", [{}, {1: 0, 2: 1, 3: 4}])
+def test_linked_sets_share_a_key(aside):
+    rng, plan, none = np.random.default_rng(6), ngram_join.Plan(75, aside), np.zeros(0, np.uint64)
+    for _ in range(4000):
+        n = int(rng.choice([1, 2, 3, 5, 6, 8, 20, 24, 60, 95, 100, 130, 300]))
+        a = np.unique(rng.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2))
+        b = a.copy()
+        drop, add = rng.integers(0, n // 6 + 2, 2)
+        b = np.unique(np.concatenate([rng.permutation(b)[drop:], rng.integers(0, 2**63, add).astype(np.uint64) * np.uint64(2) + np.uint64(1)]))
+        shared = len(np.intersect1d(a, b))
+        if not len(b) or 100 * shared < 75 * (len(a) + len(b) - shared):
+            continue
+        found = [[plan.keys(x, band, h, none) for band, h in plan.places(len(x))] for x in (a, b)]
+        if all(ok for f in found for _, _, ok in f):
+            assert np.intersect1d(*(np.concatenate([k for k, _, _ in f]) for f in found)).size
+        folded = [ngram_join.sketch(x).view(np.uint64) for x in (a, b)]
+        small = min(map(len, folded))
+        folded = [x if len(x) == small else x[:small] ^ x[small:] for x in folded]
+        assert np.bitwise_count(folded[0] ^ folded[1]).sum() <= len(a) + len(b) - 2 * shared
+
+
 def test_chat_round_trip(spark):
     rows = [
         (1, 1, "assistant", "a </turn> \\<turn> <\\turn> <part:0>"), (1, 0, "user", None), (1, 0, "user", None), (2, None, None, "x\\"), (2, 3, "a\nb>", "</turn>\n<turn>assistant\nno"),
@@ -263,9 +291,9 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, allowed):
 
 def test_lists_whose_short_hashes_agree_are_both_compared(spark):
     # The two lists have the same sum of 40-bit node hashes.
-    members = spark.createDataFrame([(1, 585), (1, 4014), (2, 2346), (2, 3142)], "key long, node long")
+    members = spark.createDataFrame([(1, 585), (1, 4014), (2, 2346), (2, 3142)], "key long, node long").withColumn("n", F.lit(1))
     none = spark.createDataFrame([], "a long, b long")
-    found = {r["node"]: r["component"] for r in ngram_join.link_lists(members, none, none, 1000, lambda pairs: pairs).collect()}
+    found = {r["node"]: r["component"] for r in ngram_join.link_lists(members, none, none, 1000, 75, lambda pairs: pairs).collect()}
     assert found == {585: 585, 4014: 585, 2346: 2346, 3142: 2346}
 
 

@@ -145,7 +145,7 @@ def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> Da
         return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
 
     links = materialize(compare(pairs), "links")
-    return link_lists(lists.select("key", "node"), links, pairs, max(LISTED_PAIRS, LISTED_EACH * n_asked), compare)
+    return link_lists(lists.select("key", "node", F.lit(1).alias("n")), links, pairs, max(LISTED_PAIRS, LISTED_EACH * n_asked), percent, compare)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.97) -> DataFrame:

@@ -146,6 +146,8 @@ def test_linked_sets_share_a_key(aside):
         found = [[plan.keys(x, band, h, none) for band, h in plan.places(len(x))] for x in (a, b)]
         if all(ok for f in found for _, _, ok in f):
             assert np.intersect1d(*(np.concatenate([k for k, _, _ in f]) for f in found)).size
+        brief = [ngram_join.sketch(x, ngram_join.BRIEF).view(np.uint64) for x in (a, b)]
+        assert np.bitwise_count(brief[0] ^ brief[1]).sum() <= len(a) + len(b) - 2 * shared
         folded = [ngram_join.sketch(x).view(np.uint64) for x in (a, b)]
         small = min(map(len, folded))
         folded = [x if len(x) == small else x[:small] ^ x[small:] for x in folded]
@@ -272,14 +274,10 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.75**rows) ** bands >= 0.97 > 1 - (1 - 0.75**rows) ** (bands - 1)
 
 
-@pytest.mark.parametrize("allowed", [200_000, 0])
-def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, allowed):
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
     # Ten pairs of near copies without a common window, all in one bucket.
     real = para_dedup.unit_rows
     monkeypatch.setattr(para_dedup, "unit_rows", lambda *a: real(*a).withColumn("keys", F.when(F.col("keys").isNotNull(), F.array(F.lit(1).cast("long")))))
-    for module in (para_dedup, ngram_join):
-        monkeypatch.setattr(module, "LISTED_PAIRS", allowed, raising=False)
-        monkeypatch.setattr(module, "LISTED_EACH", 0, raising=False)
     rng = np.random.default_rng(9)
     rows = []
     for k in range(10):
@@ -291,9 +289,10 @@ def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, allowed):
 
 def test_lists_whose_short_hashes_agree_are_both_compared(spark):
     # The two lists have the same sum of 40-bit node hashes.
-    members = spark.createDataFrame([(1, 585), (1, 4014), (2, 2346), (2, 3142)], "key long, node long").withColumn("n", F.lit(1))
+    members = spark.createDataFrame([(1, 585), (1, 4014), (2, 2346), (2, 3142)], "key long, node long")
+    nodes = members.select("node", F.lit(1).alias("n"), F.array(*[F.lit(0).cast("long")] * ngram_join.BRIEF).alias("brief"))
     none = spark.createDataFrame([], "a long, b long")
-    found = {r["node"]: r["component"] for r in ngram_join.link_lists(members, none, none, 1000, 75, lambda pairs: pairs).collect()}
+    found = {r["node"]: r["component"] for r in ngram_join.link_lists(members, none, none, nodes, 75, lambda pairs: pairs).collect()}
     assert found == {585: 585, 4014: 585, 2346: 2346, 3142: 2346}
 
 

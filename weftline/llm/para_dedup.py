@@ -22,9 +22,9 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.ngram_join import BROADCAST_IDS, LISTED_EACH, LISTED_PAIRS, _M3, _WORDS, _mix, _signed, _texts, link_lists
+from weftline.llm.ngram_join import BRIEF, BROADCAST_IDS, _M3, _WORDS, _mix, _signed, _texts, link_lists, may_link, sketch
 from weftline.operators.graph import components
-from weftline.runtime import materialize, on_workers
+from weftline.runtime import discard, materialize, on_workers
 
 PARAGRAPH_WORDS, WINDOW_WORDS, SPREAD, LEAST_WORDS = 35, 25, 8, 35
 SHINGLE = 5
@@ -131,21 +131,22 @@ def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> Da
             sets = []
             for text, start, words in zip(batch["text"], batch["start"], batch["words"], strict=True):
                 h, _ = word_hashes(text)
-                sets.append(_signed(paragraph_shingles(h, start, min(len(h), start + words))))
-            yield pd.DataFrame({"unit": batch["unit"], "tokens": sets})
+                sets.append(paragraph_shingles(h, start, min(len(h), start + words)))
+            yield pd.DataFrame({"node": batch["unit"], "n": list(map(len, sets)), "brief": [sketch(x, BRIEF) for x in sets], "tokens": list(map(_signed, sets))})
 
-    n_asked = asked.count()
-    few = n_asked <= BROADCAST_IDS
-    sets = texts.join(F.broadcast(asked) if few else asked, "id").select("unit", "start", "words", "text").mapInPandas(run, "unit long, tokens array<long>")
-    sets = materialize(sets, "sets")  # every member of a list is here, for all rounds
+    few = asked.count() <= BROADCAST_IDS
+    sets = texts.join(F.broadcast(asked) if few else asked, "id").select("unit", "start", "words", "text").mapInPandas(run, "node long, n int, brief array<long>, tokens array<long>")
+    sets = materialize(sets, "sets")  # every member of a list is here
 
     def compare(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(sets.select(F.col("unit").alias("a"), F.col("tokens").alias("ta")), "a").join(sets.select(F.col("unit").alias("b"), F.col("tokens").alias("tb")), "b")
+        of = sets.select("node", "n", "brief", "tokens")
+        both = pairs.join(of.toDF("a", "na", "sa", "ta"), "a").join(of.toDF("b", "nb", "sb", "tb"), "b").where(may_link(percent))
         shared = F.size(F.array_intersect("ta", "tb"))
-        return both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct()
+        return materialize(both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct(), "links")
 
-    links = materialize(compare(pairs), "links")
-    return link_lists(lists.select("key", "node", F.lit(1).alias("n")), links, pairs, max(LISTED_PAIRS, LISTED_EACH * n_asked), percent, compare)
+    found = link_lists(lists.select("key", "node"), compare(pairs), pairs, sets, percent, compare)
+    discard(one, lists, pairs, asked, sets)
+    return found
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = 75, recall: float = 0.97) -> DataFrame:

@@ -192,6 +192,46 @@ def test_html(spark):
     assert html_main.extract_main_text(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def test_differencing_decides(spark):
+    # Without their neighbours the pages would keep the notice, the foot and the doubtful section.
+    page = "<body><p>Notice of the house</p><div class='social-history'><p>{}</p></div><p>Only here {}</p><p>Foot</p></body>"
+    inside = "<body><article><p>One {0}</p><div class='social-history'><p>{1}</p></div><p>Quoted</p></article></body>"
+    rows = [(1, "http://h/a/1", page.format("Same", 1)), (2, "http://h/a/2", page.format("Same", 2)), (3, "http://h/a/3", page.format("Own", 3)),
+            (4, "http://g/a/1", inside.format(1, "Same")), (5, "http://g/a/2", inside.format(2, "Same")), (6, "http://g/b", inside.format(3, "Own")), (7, "http://k/alone", page.format("Same", 7))]
+    got = {r["page_id"]: r["text"] for r in html_main.extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {1: "Only here 1", 2: "Only here 2", 3: "Own\nOnly here 3", 4: "One 1\nQuoted", 5: "One 2\nQuoted", 6: "One 3\nOwn\nQuoted", 7: "Notice of the house\nSame\nOnly here 7\nFoot"}
+
+
+def test_texts_equal_a_plain_version_whatever_the_ranges(spark):
+    # The plain version sorts all pages on the driver.
+    rng = np.random.default_rng(2)
+    menu = [f"Menu {k}" for k in range(9)]
+    rows = []
+    for k in range(300):
+        body = [*rng.choice(menu, rng.integers(0, 5)), *(f"Line {rng.integers(0, 400)}" for _ in range(rng.integers(0, 6))), *rng.choice(menu, 2)]
+        rows.append((int(k % 290) if k % 50 else None, f"http://h{rng.integers(0, 4)}/{rng.choice(list('abc'))}/{rng.integers(0, 40)}", "".join(f"<p>{x}</p>" for x in body)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    marked = pages.select("page_id", "url", "html", F.xxhash64("html").alias("m")).collect()
+    host = lambda r: r["url"].split("/")[2]
+    ordered = sorted(marked, key=lambda r: (host(r), r["url"].split("/", 3)[3], r["page_id"] is not None, r["page_id"] or 0, r["m"]))
+    want = []
+    for k, r in enumerate(ordered):
+        near = [html_main.lines(ordered[j]["html"]) for j in (k - 1, k + 1) if 0 <= j < len(ordered) and host(ordered[j]) == host(r)]
+        want.append((r["page_id"] or -1, r["url"], html_main.main_text(html_main.lines(r["html"]), *near)))
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        for n in ("3", "40"):
+            spark.conf.set("spark.sql.shuffle.partitions", n)
+            assert sorted((r["page_id"] or -1, r["url"], r["text"]) for r in html_main.extract_main_text(pages).collect()) == sorted(want)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+
+
+def test_very_long_page():
+    page = "<nav>menu</nav><article>" + "".join(f"<p>line {k} &amp; more</p>" for k in range(40_000)) + "</article>"
+    assert html_main.main_text(html_main.lines(page)).count("\n") == 39_999
+
+
 def brute_lcs(a, b):
     best = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
     for i, x in enumerate(a):

@@ -1,28 +1,25 @@
 """Main text of web pages: nearest-URL page differencing, with the page's own structure as a second witness.
 
-Pages are sorted by host and URL path; each is compared with the neighbour on the same host that shares the longer part of
-its path. Their text lines are aligned by longest common subsequence. A line both share, such as a menu entry or a notice, is
-deleted. Two things differencing alone gets wrong are set right by markup: boilerplate that differs from page to
-page (adverts, menus drawn anew) goes by its element, and a line inside the article stays although a neighbour has it too.
+Pages are sorted by host and URL path; each is compared with the pages before and after it on the same host. Their text
+lines are aligned by longest common subsequence, and lines that a neighbour shares, such as menu entries or notices, are
+deleted. Three things differencing alone gets wrong are set right by markup: boilerplate that differs from page to page
+(adverts, menus drawn anew) goes by its element, a line inside the article stays although a neighbour has it too, and a
+neighbour that shares every line is a copy of the page and says nothing. Where a class name may mean either, such as social-history,
+differencing decides, inside the article as well.
 """
 
 from __future__ import annotations
 
 import html
-import json
 import re
-import zlib
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.runtime import materialize
-
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|textarea|math|iframe|object)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
     r"|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)([^>]*)>|[^<]+|<",
@@ -40,7 +37,11 @@ _NOT_WORDS = frozenset(
     "comment comments respond replies cookie cookies consent notice notices alert popup modal overlay newsletter subscribe signup login search share sharing social related "
     "recommended widget toolbar pagination pager complementary contentinfo disqus".split()
 )
+#: Words that say nothing about what an element holds.
+_NEUTRAL = frozenset("area block bottom box col column container content footer group header inner item left link links list outer panel row section slot text title top unit right wrap wrapper".split())
 _KEEP = frozenset(("article", "main"))
+#: Keys of pages, for each range, that are sampled to find where ranges begin.
+RANGE_KEYS = 100
 _ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden|itemprop|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
 
@@ -50,34 +51,44 @@ class Line:
     text: str
     article: bool  # inside an article or main element
     other: bool  # inside an element that is not the article's text
+    open: bool  # inside an element whose class may mean either
+
+
+def _class_marks(value: str) -> tuple[bool, bool]:
+    """(names something other than text, may do so): all the words of one of its names are such words, or only some."""
+    names = [[w for w in _SPLIT.split(x) if w] for x in value.split()]
+    some = [x for x in names if not _NOT_WORDS.isdisjoint(x)]
+    return any(all(w in _NOT_WORDS or w in _NEUTRAL or len(w) == 1 for w in x) for x in some), bool(some)
 
 
-def _marks(name: str, attributes: str) -> tuple[bool, bool]:
-    """(begins an article, begins something else) of an opening tag."""
-    keep, other = name in _KEEP, name in _NOT_TEXT
+def _marks(name: str, attributes: str) -> tuple[bool, bool, bool]:
+    """(begins an article, begins something else, begins what may be something else) of an opening tag."""
+    keep, other, either = name in _KEEP, name in _NOT_TEXT, False
     if attributes:
         for m in _ATTRIBUTE.finditer(attributes):
             key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
             if key in ("class", "id", "role"):
-                other |= name not in ("html", "body", "article", "main") and not _NOT_WORDS.isdisjoint(_SPLIT.split(value))
+                if name not in ("html", "body", "article", "main"):
+                    sure, may = _class_marks(value)
+                    other, either = other or sure, either or may
                 keep |= key == "role" and value == "main"
             elif key == "itemprop":
                 keep |= value == "articlebody"
             elif key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none", value):
                 other = True
-    return keep, other
+    return keep, other, either
 
 
 def lines(page: str | None) -> list[Line]:
     """The page's blocks in order: character references decoded, white space runs one space, empty ones left out."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # open elements: name, article, other
-    article = other = False
+    stack: list[tuple[str, bool, bool, bool]] = []  # open elements: name, article, other, either
+    article = other = either = False
     buffer: list[str] = []
 
     def flush() -> None:
         if buffer and (text := " ".join(html.unescape("".join(buffer)).split())):
-            out.append(Line(text, article, other))
+            out.append(Line(text, article, other, either))
         buffer.clear()
 
     for m in _TOKEN.finditer(page or ""):
@@ -102,27 +113,18 @@ def lines(page: str | None) -> list[Line]:
         elif name not in _VOID and not (m[4] or m[7] or "").rstrip().endswith("/"):
             if name in ("p", "li") and stack and stack[-1][0] == name:
                 stack.pop()  # the end tag may be left out
-            keep, drop = _marks(name, m[4] or m[7] or "")
+            keep, drop, may = _marks(name, m[4] or m[7] or "")
             # An article ends what an element around it that was never closed would still hold.
-            stack.append((name, article or keep, drop or (other and name not in _KEEP)))
-        was = (article, other)
-        article, other = stack[-1][1:] if stack else (False, False)
-        if was != (article, other) and buffer:
-            now, (article, other) = (article, other), was
+            stack.append((name, article or keep, drop or (other and name not in _KEEP), may or (either and name not in _KEEP)))
+        was = (article, other, either)
+        now = stack[-1][1:] if stack else (False, False, False)
+        if was != now:
             flush()
-            article, other = now
+            article, other, either = now
     flush()
     return out
 
 
-def pack_lines(own: list[Line]) -> bytes:
-    return zlib.compress(json.dumps([(x.text, x.article, x.other) for x in own], ensure_ascii=False).encode("utf-8", "surrogatepass"), 6)
-
-
-def unpack_lines(packed: bytes) -> list[Line]:
-    return [Line(*x) for x in json.loads(zlib.decompress(packed).decode("utf-8", "surrogatepass"))]
-
-
 def shared_lines(mine: list[str], theirs: list[str]) -> set[int]:
     """Places in `mine` of one longest common subsequence with `theirs` (Hunt and Szymanski's way)."""
     head = 0
@@ -153,13 +155,19 @@ def shared_lines(mine: list[str], theirs: list[str]) -> set[int]:
     return found
 
 
-def main_text(own: list[Line], neighbour: list[Line] | None) -> str:
-    """The lines that are left, one \\n between: shared ones go unless they stand in the article, then what markup rules out.
+def main_text(own: list[Line], *neighbours: list[Line] | None) -> str:
+    """The lines that are left, one \\n between: what markup rules out goes, then what a neighbour shares, unless it surely stands in the article.
 
-    Pages with an article or main element give what is in it; others all lines that are left.
+    Pages with an article or main element give what is in it; others all lines that are left. A neighbour that shares all of
+    what markup leaves of the page is a copy of it, not a witness.
     """
-    shared = shared_lines([x.text for x in own], [x.text for x in neighbour]) if neighbour else set()
-    kept = [x for k, x in enumerate(own) if not x.other and (x.article or k not in shared)]
+    shared: set[int] = set()
+    texts = [x.text for x in own]
+    for near in neighbours:
+        found = shared_lines(texts, [x.text for x in near]) if near else set()
+        if any(k not in found for k, x in enumerate(own) if not x.other):
+            shared |= found
+    kept = [x for k, x in enumerate(own) if not x.other and (k not in shared or x.article and not x.open)]
     if any(x.article and not x.other for x in own):
         kept = [x for x in kept if x.article]
     return "\n".join(x.text for x in kept)
@@ -171,77 +179,78 @@ def host_and_path(url: Column) -> tuple[Column, Column]:
     return F.lower(F.regexp_extract(bare, r"^([^/?#]*)", 1)), F.regexp_extract(bare, r"^[^/?#]*(.*)$", 1)
 
 
-def _common(a: str, b: str) -> int:
-    n = min(len(a), len(b))
-    return next((k for k in range(n) if a[k] != b[k]), n)
-
-
 def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """id_col, url_col, text, n_chars of every row of pages.
 
-    A page's neighbour is the row before or after it by host, path and id, whichever shares the longer start of the path, on the same host;
-    the row before on a tie. Rows are sorted across the cluster and only neighbouring rows are held in memory, so a host may be of
-    any size; the first and last row of a range meet those of the ranges beside it. Null or empty html gives an empty text, null urls are one host, repeated
-    rows are neighbours and each give a row. Other columns are ignored.
+    A page's neighbours are the rows before and after it by host, path, id and content, if on the same host. Rows are dealt over
+    ranges of that order, so a host may be of any size; the last row of a range goes along to the next range and the first one
+    to the range before, so texts do not depend on the ranges. Pages move once, as they are, and each is parsed once. Null or empty html gives an
+    empty text, null urls are one host, repeated rows are neighbours and each give a row. Other columns are ignored.
     """
+    spark = pages.sparkSession
     host, path = host_and_path(F.col(url_col))
-    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.col(html_col).cast("string").alias("html"))
+    html_text = F.col(html_col).cast("string")
+    rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html_text).alias("mark"), html_text.alias("html"))
+    order = ["host", "path", "id", "mark"]
+
+    def key(h: str, p: str, i: int | None, m: int) -> tuple:
+        return h, p, i is not None, i or 0, m
+
+    # Where ranges begin: evenly over a sample of bounded size, a fixed number of keys a range.
+    n_ranges = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    every = max(1, pages.count() // (RANGE_KEYS * n_ranges))
+    sample = rows.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).limit(4 * RANGE_KEYS * n_ranges)
+    keys = sorted(key(*r) for r in sample.collect())
+    begins = [keys[len(keys) * k // n_ranges] for k in range(1, n_ranges)] if keys else []
+    narrow = rows.select(*order, _range_of(begins)(*order).alias("r"))
+    ends = narrow.groupBy("r").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi")).orderBy("r").collect()  # a row a range
+    also: dict[tuple, list[int]] = {}
+    for one, two in zip(ends, ends[1:], strict=False):
+        also.setdefault(key(*one["hi"]), []).append(two["r"])
+        also.setdefault(key(*two["lo"]), []).append(one["r"])
+    dealt = rows.select("*", F.posexplode(_range_of(begins, also)(*order)).alias("copy", "r"))
+    dealt = dealt.repartition(max(1, n_ranges // 2), "r").sortWithinPartitions("r", *order, "copy")
+
+    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out: list[tuple] = []
+        before = row = None
+
+        def done(after: tuple | None) -> None:
+            if row is not None and not row[0]:
+                near = [x[5] for x in (before, after) if x is not None and x[1:3] == row[1:3]]
+                out.append((row[3], row[4], main_text(row[5], *near)))
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # Markup stays behind: only the packed text lines are shuffled.
         for batch in batches:
-            batch["id"] = batch["id"].astype("Int64")
-            batch["packed"] = [pack_lines(lines(x)) for x in batch["html"]]
-            yield batch.drop(columns="html")
+            for x in batch.itertuples(index=False):
+                after = (x.copy > 0, x.r, x.host, x.id, x.url, lines(x.html))
+                done(after)
+                before, row = row, after
+            yield pd.DataFrame(out, columns=["id", "url", "text"]).astype({"id": "Int64"})
+            out.clear()
+        done(None)
+        yield pd.DataFrame(out, columns=["id", "url", "text"]).astype({"id": "Int64"})
+
+    texts = dealt.select("copy", "r", "host", F.col("id"), "url", "html").mapInPandas(extract, "id long, url string, text string")
+    return texts.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
-    rows = rows.mapInPandas(parse, "id long, url string, host string, path string, packed binary")
-    rows = rows.repartitionByRange("host", "path", "id").sortWithinPartitions("host", "path", "id")
 
-    def done(before: tuple | None, row: tuple, after: tuple | None) -> tuple:
-        near = [x for x in (before, after) if x is not None and x[2] == row[2]]
-        best = max(near, key=lambda x: _common(x[3], row[3]), default=None)
-        return row[0], row[1], main_text(row[4], best[4] if best else None)
+def _range_of(begins: list[tuple], also: dict[tuple, list[int]] | None = None):
+    """A function of host, path, id and mark: the number of the row's range, or an array of that and the ranges it goes along to."""
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        # The first and last row of a range wait for the ranges beside it; the rows next to them in the range go along.
-        part = TaskContext.get().partitionId()
-        nothing = -1, -1, False, None, None, None
+    def numbers(host: pd.Series, path: pd.Series, id: pd.Series, mark: pd.Series) -> list[tuple[tuple, int]]:
+        keys = [(h, p, not pd.isna(i), 0 if pd.isna(i) else int(i), int(m)) for h, p, i, m in zip(host, path, id.astype("Int64"), mark, strict=True)]
+        return [(k, bisect_right(begins, k)) for k in keys]
 
-        def each() -> Iterator[tuple]:
-            for batch in batches:
-                for row in batch.itertuples(index=False):
-                    yield row.id, row.url, row.host, row.path, unpack_lines(row.packed), row.packed
+    if also is None:
 
-        def edge(row: tuple, at: int, asked: bool) -> tuple:
-            return row[0], row[1], None, part, at, asked, row[2], row[3], row[5]
+        @F.pandas_udf("int")
+        def own(host: pd.Series, path: pd.Series, id: pd.Series, mark: pd.Series) -> pd.Series:
+            return pd.Series([n for _, n in numbers(host, path, id, mark)], dtype="int32")
 
-        before = row = None
-        at = -1
-        out: list[tuple] = []
-        for after in each():
-            if row is not None:
-                out += [edge(row, at, True)] if at == 0 else [(*done(before, row, after), *nothing)]
-                if at == 1:
-                    out.append(edge(row, at, False))
-                if len(out) >= 500:
-                    yield pd.DataFrame(out, columns=names)
-                    out = []
-            before, row, at = row, after, at + 1
-        if row is not None:
-            if at > 2:
-                out.append(edge(before, at - 1, False))
-            out.append(edge(row, at, True))
-        yield pd.DataFrame(out, columns=names)
-
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        own = [(x.id, x.url, x.host, x.path, unpack_lines(x.packed), x.asked) for batch in batches for x in batch.itertuples(index=False)]
-        out = [done(own[k - 1] if k else None, x, own[k + 1] if k + 1 < len(own) else None) for k, x in enumerate(own) if x[5]]
-        yield pd.DataFrame(out, columns=["id", "url", "text"])
-
-    kinds = "id long, url string, text string, part int, at long, asked boolean, host string, path string, packed binary"
-    names = [x.split()[0] for x in kinds.split(", ")]
-    found = materialize(rows.mapInPandas(extract, kinds), "texts")
-    # At most four rows a range, so one task whatever the input.
-    edges = found.where("packed IS NOT NULL").repartition(1).sortWithinPartitions("part", "at")
-    texts = found.where("packed IS NULL").select("id", "url", "text").unionByName(edges.mapInPandas(settle, "id long, url string, text string"))
-    return texts.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+        return own
+
+    @F.pandas_udf("array<int>")
+    def all_of(host: pd.Series, path: pd.Series, id: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series([[n, *also.get(k, ())] for k, n in numbers(host, path, id, mark)], dtype=object)
+
+    return all_of

@@ -64,13 +64,25 @@ def test_packing_search_empties_bins():
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
 
 
+def test_packing_search_goes_on_while_it_empties_bins():
+    lengths = np.random.default_rng(1).integers(500, 900, 1500)
+    bins = packing.Bins(lengths, 2048)
+    before = len(bins.items)
+    bins.search()
+    left = [x for x in bins.items if x]
+    assert len(left) < before and sorted(i for x in left for i in x) == list(range(1500)) and max(lengths[x].sum() for x in left) <= 2048
+
+
 def test_tokens_equal_the_library(docs):
-    s = tokenizing.store(tokenizing.default_tokenizer())
+    from tokenizers import Tokenizer
+
+    s, plain = tokenizing.store(tokenizing.default_tokenizer()), Tokenizer.from_file(tokenizing.default_tokenizer())
     rng = np.random.default_rng(4)
     pool = ["a", "é", "ß", "1", "²", "_", "'", "'ll", " ", "  ", "\n", "\r\n", "\xa0", " ", "\x1c", ".", ",", "&", "漢", "́", "😀", "<|endoftext|>", "$"]
     for _ in range(3000):
         t = "".join(rng.choice(pool, rng.integers(1, 12)))
-        assert s.packed(t) == np.array(s.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+        assert s.packed(t) == np.array(plain.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert 50256 in np.frombuffer(s.packed("a <|endoftext|> b"), "<u4")
     assert s.packed(None) == s.packed("") == b""
 
 

@@ -43,6 +43,84 @@ def test_ngram_join_equals_all_pairs(spark):
     assert {r[0]: (r[1], r[2]) for r in QUERIES["op3_ngram_join"](spark, DATA).collect()} == brute_components(docs)
 
 
+def library_ids(end):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    from weftline.llm import tokenizing
+
+    plain = Tokenizer.from_file(tokenizing.default_tokenizer())
+    docs = duckdb.sql(DOCUMENTS + " ORDER BY doc_id").fetchall()
+    return {d: np.array([*plain.encode(t or "", add_special_tokens=False).ids, end], "<u4") for d, t in docs}
+
+
+def test_packing_equals_the_library(spark):
+    import zlib
+
+    out = QUERIES["op1_best_fit_packing"](spark, DATA).toPandas()
+    ids = library_ids(0)
+    assert set(out["doc_id"]) == set(ids)
+    for d, g in out.sort_values("piece").groupby("doc_id"):
+        at = 0
+        assert g["piece"].tolist() == list(range(len(g)))
+        for r in g.itertuples():
+            assert r.start == at and r.ids_crc32 == zlib.crc32(ids[d][at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids[d]) and (len(g) == 1 or at > 2048 and set(g["length"][1:]) <= {2048})
+    for _, g in out.sort_values("offset").groupby("sequence_id"):
+        assert g["offset"].tolist() == [0, *g["length"].cumsum()[:-1].tolist()] and g["length"].sum() <= 2048
+    least = -(-int(out["length"].sum()) // 2048)
+    assert least <= out["sequence_id"].nunique() <= least + 1
+
+
+def test_token_store_equals_the_library(spark):
+    import zlib
+
+    ids, start = library_ids(2), 0
+    got = {r["doc_id"]: (r["start"], r["n_tokens"], r["ids_crc32"]) for r in QUERIES["op6_token_store"](spark, DATA).collect()}
+    for d in sorted(ids):
+        assert got.pop(d) == (start, len(ids[d]), zlib.crc32(ids[d].tobytes()))
+        start += len(ids[d])
+    assert not got
+
+
+def test_main_text_is_the_article(spark):
+    # Every page of the table has an article element; its text by the standard library's parser.
+    from html.parser import HTMLParser
+
+    class Article(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.depth, self.skip, self.blocks, self.now = 0, 0, [], ""
+
+        def cut(self):
+            if self.depth and self.now.split():
+                self.blocks.append(" ".join(self.now.split()))
+            self.now = ""
+
+        def handle_starttag(self, tag, attrs):
+            self.skip += tag in ("script", "style")
+            if tag in ("article", "p", "h1", "h2", "h3", "li", "ul", "ol", "div", "blockquote", "pre", "table", "tr", "td"):
+                self.cut()
+            self.now += " " if tag == "br" else ""
+            self.depth += tag == "article"
+
+        def handle_endtag(self, tag):
+            self.skip -= tag in ("script", "style")
+            if tag in ("article", "p", "h1", "h2", "h3", "li", "ul", "ol", "div", "blockquote", "pre", "table", "tr", "td"):
+                self.cut()
+            self.depth -= tag == "article"
+
+        def handle_data(self, data):
+            self.now += "" if self.skip else data
+
+    got = {r["page_id"]: r["text"] for r in QUERIES["op2_html_main_text"](spark, DATA).collect()}
+    for k, page in duckdb.sql(f"SELECT page_id, html FROM '{DATA}/pages.parquet'").fetchall():
+        parser = Article()
+        parser.feed(page or "")
+        assert got[k] == "\n".join(parser.blocks)
+
+
 def test_passages_of_over_fifty_words_are_found(spark):
     seen = collections.defaultdict(set)
     for d, t in duckdb.sql(DOCUMENTS).fetchall():

@@ -90,8 +90,8 @@ class Bins:
 
         The least filled bin gives. It moves a document into room elsewhere, or exchanges one or two of its own for one or two
         smaller ones of a fuller bin (one for one, two for one, one for two). Every exchange moves tokens from a less to a more
-        filled bin, so the sum of squares grows by one at least and the search ends; effort bounds the givers tried, which
-        only limits how good the packing gets.
+        filled bin, so the sum of squares grows by one at least and the search ends. It also ends when effort givers in a row were
+        tried and no bin was emptied: as long as it empties bins it goes on.
         """
         least = -(-int(self.lengths.sum()) // self.capacity)
         n_bins = len(self.items)
@@ -107,9 +107,9 @@ class Bins:
         pairs = np.array([len(c) for c in _CHOICES])
         stuck: set[tuple] = set()  # contents of givers that found nothing
         closed = np.zeros(len(alive), bool)
-        for _ in range(effort):
-            if n_bins <= least or closed.all():
-                break
+        idle = 0
+        while n_bins > least and idle < effort and not closed.all():
+            idle += 1
             k = int(np.argmax(np.where(closed, -1, room)))
             giver = int(alive[k])
             mine = self.items[giver]
@@ -131,7 +131,7 @@ class Bins:
                 back[place[b]] = self._backs(b)
             if not self.items[giver]:
                 n_bins -= 1
-                room[k] = 0
+                room[k] = idle = 0
             # Other bins may find something now.
             stuck.clear()
             closed = room == 0

@@ -43,8 +43,9 @@ class _Store(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Strings of special tokens inside a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
+        # Strings of added tokens have ids of their own; a text that holds one goes to the library whole.
+        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, added))) if added else None
         self.letters = _byte_letters()
 
     def __missing__(self, chunk: str) -> bytes:
@@ -64,7 +65,11 @@ class _Store(dict):
 
     def packed(self, text: str | None) -> bytes:
         """The ids of a whole text, packed. Null and empty texts have none."""
-        return b"".join(map(self.__getitem__, chunks(text))) if text else b""
+        if not text:
+            return b""
+        if self.added and self.added.search(text):
+            return self.encoded(text)
+        return b"".join(map(self.__getitem__, chunks(text)))
 
 
 @lru_cache(maxsize=4)

@@ -132,17 +132,75 @@ def test_passages_of_over_fifty_words_are_found(spark):
     assert want <= got
 
 
+def plain_toxicity(spark, docs):
+    from weftline.llm import toxicity
+
+    labels = spark.read.parquet(f"{DATA}/labels.parquet")
+    frame = spark.createDataFrame(docs, "doc_id long, text string")
+    model = toxicity.fit(*toxicity.training_rows(frame, labels, "doc_id", "text", "toxic"))
+    weights = toxicity._Weights(model)
+    return [(d, t) for d, t in docs if model.score(model.logit(toxicity.words(t), weights)) < 0.5]
+
+
 def test_pipeline_stages(spark):
+    """Each stage's rows against a plain version of it on the same input."""
     import corpus_pipeline
 
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    columns = docs.columns
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs.count()
-        kept = stage(spark, docs, DATA)
-        docs = spark.createDataFrame(kept.toPandas(), kept.schema)
-        assert docs.columns == columns
-        if name in ("exact_dedup", "ngram_join"):
-            assert docs.count() <= before and docs.select("doc_id").distinct().count() == docs.count()
-    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DATA)
-    assert packed.select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+    columns, stages = docs.columns, dict(corpus_pipeline.STAGES)
+
+    def run(name, docs):
+        kept = stages[name](spark, docs, DATA)
+        assert kept.columns == columns
+        return spark.createDataFrame(kept.toPandas(), kept.schema)
+
+    plain = lambda docs: sorted((r["doc_id"], r["text"]) for r in docs.collect())
+    before, docs = plain(docs), run("toxicity", docs)
+    assert plain(docs) == sorted(plain_toxicity(spark, before))
+    before, docs = plain(docs), run("exact_dedup", docs)
+    assert plain(docs) == sorted((d, t) for t, d in {t: d for d, t in before}.items())
+    before, docs = plain(docs), run("ngram_join", docs)
+    assert plain(docs) == sorted((d, t) for d, t in before if brute_components(before)[d][1] == d)
+    c = duckdb.connect()
+    c.register("documents", docs.toPandas())
+    copies = c.sql(f"SELECT doc_id, taken // size FROM ({ORACLE_SQL['op5_source_mixing']}) WHERE taken > 0").fetchall()
+    before, docs = dict(plain(docs)), run("source_mixing", docs)
+    assert plain(docs) == sorted((d, before[d]) for d, n in copies for _ in range(n))
+    ids, packed = library_ids(0), stages["best_fit_packing"](spark, docs, DATA).toPandas()
+    n_of = collections.Counter(d for d, _ in plain(docs))
+    assert packed.groupby("doc_id")["length"].sum().to_dict() == {d: n * len(ids[d]) for d, n in n_of.items()}
+    assert packed.groupby("sequence_id")["length"].sum().max() <= 2048 and not packed.duplicated(["sequence_id", "offset"]).any()
+
+
+LONG = " ".join(f"w{k}" for k in range(3000))
+N = len(LONG)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    long = LONG
+    rows = [(1, "alpha beta gamma delta", "s"), (1, "alpha beta gamma delta", "s"), (2, None, None), (None, "", "s"), (None, long, None), (4, long + " x", "t"), (4, "one two three four five six", "s"), (5, "one", "t")]
+    return spark.createDataFrame([(*r, "mine", 0.5, 7) for r in rows], "doc_id long, text string, source string, predicted string, score double, size int")
+
+
+@pytest.mark.parametrize("name", ["toxicity", "exact_dedup", "ngram_join", "source_mixing", "best_fit_packing"])
+def test_pipeline_stage_edges(spark, odd, name):
+    import corpus_pipeline
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out, nothing = stage(spark, odd, DATA), stage(spark, odd.limit(0), DATA)
+    assert nothing.count() == 0
+    if name == "best_fit_packing":
+        assert out.select("doc_id").distinct().count() == 5
+        return
+    assert out.columns == odd.columns == nothing.columns
+    rows = [(r["doc_id"], len(r["text"] or "")) for r in out.collect()]
+    assert {(r["predicted"], r["score"], r["size"]) for r in out.collect()} == {("mine", 0.5, 7)}
+    if name == "toxicity":
+        assert len(rows) == 8
+    elif name == "exact_dedup":
+        assert sorted(rows, key=str) == sorted([(1, 22), (2, 0), (None, N), (4, N + 2), (4, 27), (5, 3)], key=str)
+    elif name == "ngram_join":  # the long texts are near copies, the one with an id stays; both rows of id 1 are one text
+        assert (None, N) not in rows and (4, N + 2) in rows and (4, 27) in rows and len(rows) == 7
+    else:
+        assert all(n for _, n in rows)

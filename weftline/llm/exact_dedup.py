@@ -1,9 +1,9 @@
 """Exact deduplication by progressive refinement: length, then prefix hash, then full hash.
 
-Each step only looks at groups that the step before left with two rows or more. The first two steps shuffle
-narrow rows (length, 64-bit prefix hash, count). Their survivors are marked in a bitmap of fixed size, which the
-last scan consults by a broadcast join, so that the full hash is taken, and a text shuffled, only for rows
-that may have a copy. A false mark costs one needless hash, never a wrong result.
+Each step only looks at rows that the step before left with company: the prefix is hashed for rows whose length others have,
+and counted with that length; the survivors are marked in a bitmap of fixed size, which the last scan consults by a
+broadcast join, so that the full hash is taken only for rows that may have a copy. A false mark costs one needless hash,
+never a wrong result. Texts are not shuffled while the groups of copies are few enough to be sent to the rows.
 """
 
 from __future__ import annotations
@@ -11,6 +11,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.runtime import materialize
+
+#: Lengths, and groups of copies, up to which they are broadcast; beyond, joins shuffle.
+BROADCAST_LENGTHS, BROADCAST_GROUPS = 500_000, 200_000
 #: Bits in one row of the survivors' bitmap, as bitmap_construct_agg has them.
 ROW_BITS = 32768
 
@@ -21,13 +25,12 @@ def _text(col: str) -> Column:
 
 def _refine(docs: DataFrame, id_col: str, text_col: str, prefix_chars: int) -> DataFrame:
     """(length, prefix hash) of the groups that steps one and two leave with at least two rows."""
-    narrow = docs.select(
-        F.octet_length(_text(text_col)).alias("len"), F.xxhash64(F.substring(_text(text_col), 1, prefix_chars)).alias("ph")
-    )
-    # Both counts are map-side combined; the length filter goes back to the narrow groups, not to the rows.
-    by_prefix = narrow.groupBy("len", "ph").agg(F.count(F.lit(1)).alias("n"))
-    by_len = by_prefix.groupBy("len").agg(F.sum("n").alias("of_len")).where("of_len > 1")
-    return by_prefix.where("n > 1").join(by_len, "len", "left_semi").select("len", "ph")
+    text = _text(text_col)
+    by_len = materialize(docs.select(F.octet_length(text).alias("len")).groupBy("len").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("len"), "lengths")
+    wanted = F.broadcast(by_len) if by_len.count() <= BROADCAST_LENGTHS else by_len
+    rows = docs.select(F.octet_length(text).alias("len"), F.substring(text, 1, prefix_chars).alias("prefix")).join(wanted, "len", "left_semi")
+    by_prefix = rows.groupBy("len", F.xxhash64("prefix").alias("ph")).agg(F.count(F.lit(1)).alias("n"))
+    return by_prefix.where("n > 1").select("len", "ph")
 
 
 def exact_dedup(
@@ -70,9 +73,13 @@ def exact_dedup(
     groups = (
         by_row.groupBy("__len", "__sha")
         .agg(F.sum("n").alias("group_size"), F.max(F.struct(F.col("__id").alias("id"), F.col("n"))).alias("best"))
-        .select("__len", "__sha", "group_size", F.col("best.id").alias("keep_id"), F.col("best.n").alias("__ties"))
+        .where("group_size > 1")
+        .select(F.col("__len").alias("__g_len"), F.col("__sha").alias("__g_sha"), "group_size", F.col("best.id").alias("keep_id"), F.col("best.n").alias("__ties"))
     )
-    joined = again.join(groups, ["__len", "__sha"])
+    groups = materialize(groups, "groups")
+    few = groups.count() <= BROADCAST_GROUPS
+    joined = again.join(F.broadcast(groups) if few else groups, (F.col("__len") == F.col("__g_len")) & (F.col("__sha") == F.col("__g_sha")), "left")
+    joined = joined.withColumns({"keep_id": F.when(F.col("group_size").isNull(), F.col(id_col)).otherwise(F.col("keep_id")), "group_size": F.coalesce("group_size", F.lit(1)), "__ties": F.coalesce("__ties", F.lit(1))})
     is_best = F.col(id_col).eqNullSafe(F.col("keep_id"))
     settled = joined.where(~is_best | (F.col("__ties") == 1)).select(*plain, "keep_id", "group_size", is_best.alias("kept"))
     # Rows that repeat id and text: number them, the first stays. No such rows, no work.

@@ -216,8 +216,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     order = [F.xxhash64(id_col), F.col(id_col)]
     picked = known.where("__y = 1").orderBy(*order).limit(MOST_TOXIC).unionByName(known.where("__y = 0").orderBy(*order).limit(MOST_CLEAN))
     # At most MOST_TOXIC + MOST_CLEAN rows of an id and a label.
-    rows = docs.select(id_col, F.col(text_col).cast("string").alias("__t")).join(F.broadcast(picked), id_col).toPandas()
-    rows = rows.assign(__t=rows["__t"].fillna("")).drop_duplicates().sort_values([id_col, "__y", "__t"]).head(MOST_TOXIC + MOST_CLEAN)
+    rows = docs.select(id_col, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("__t")).join(F.broadcast(picked), id_col).distinct()
+    rows = rows.orderBy(id_col, "__y", "__t").limit(MOST_TOXIC + MOST_CLEAN).toPandas()
     return rows["__t"].tolist(), rows["__y"].tolist()
 
 

@@ -6,6 +6,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from weftline.functions import labels, seq, textfmt
+from weftline.operators import compare, ml, quality
 from weftline.operators.interval import gap
 
 
@@ -29,7 +30,16 @@ def one(spark, column):
         (lambda: labels.agreement(F.lit("Forward"), F.lit(None).cast("string")), "not_comparable"),
         (lambda: labels.subtype_key(F.lit("  ")), "Unknown"),
         (lambda: textfmt.duration(F.lit(3723)), "1h02m03s"),
+        (lambda: textfmt.duration(F.lit(-5)), "0s"),
         (lambda: textfmt.ellipsize(F.lit("abcdefgh"), 6), "abc..."),
+        (lambda: textfmt.ellipsize(F.lit("abcdef"), 2), "ab"),
+        (lambda: ml.decode_dna(ml.encode_dna(F.lit("acXt"), True, True)), "ACNT"),
+        (lambda: F.array_join(ml.encode_dna(F.lit("ACGTx"), True, True), ","), "1,3,4,5,6,7,2"),
+        (lambda: labels.agreement(F.lit("ND"), F.lit("Forward")), "disagree"),
+        (lambda: labels.parse_type_label(F.lit("X_CAS_Class1-Type-IVa_1"))["status"], "ok"),
+        (lambda: labels.parse_type_label(F.lit("X_CAS_Class1-Type-IV_1"))["status"], "coarse_type_only"),
+        (lambda: F.array_join(ml.rotate(F.array(F.lit(1.0), F.lit(0.0), F.lit(9.0)), F.lit(0)), ","), "1.0,0.0,9.0"),
+        (lambda: F.lit(str(ml.alibi_slopes(3))), "[0.0625, 0.00390625, 0.25]"),
         (lambda: textfmt.safe_filename(F.lit("a b/c")), "a_b_c"),
     ],
 )
@@ -69,3 +79,18 @@ def test_reverse_complement_is_an_involution(spark, texts):
     df = spark.createDataFrame([(t,) for t in texts], "t string")
     twice = seq.reverse_complement(seq.reverse_complement(F.col("t")))
     assert df.where(twice != F.col("t")).count() == 0
+
+
+def test_forward_share_counts_unknown_calls(spark):
+    rows = spark.createDataFrame([("g", "Forward"), ("g", "Unknown"), ("u", "Unknown"), ("f", "Forward")], "g string, c string")
+    assert {tuple(r) for r in compare.forward_fractions(rows, "g", "c").collect()} == {("g", 2, 0.5, "mixed"), ("u", 1, 0.0, "all_reverse"), ("f", 1, 1.0, "all_forward")}
+
+
+def test_overlap_counts_each_side(spark):
+    rows = spark.createDataFrame([("a", "x"), ("a", "y"), ("b", "y"), ("c", "z"), ("c", "z")], "a string, b string")
+    assert compare.overlap_stats(rows, "a", "b").first().asDict() == {"n_clusters_a": 3, "intact_a": 2, "split_a": 1, "n_shared": 5, "n_clusters_b": 3, "intact_b": 2, "merged_b": 1}
+
+
+def test_rates_fall_on_tiny_gains(spark):
+    rows = spark.createDataFrame([("r", k, 1.0 - 1e-6 * k) for k in range(6)], "run string, epoch int, loss double")
+    assert quality.plateau_rates(rows, "run", "epoch", "loss", 0.1).first()["final_rate"] == 0.05

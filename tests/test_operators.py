@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -135,3 +136,17 @@ def test_local_moves_find_two_cliques():
     clique = lambda ids: [(a, b, 1.0) for a in ids for b in ids if a < b]
     of = community.local_moves(clique(range(5)) + clique(range(5, 10)) + [(4, 5, 0.1)], 1.0)
     assert len({of[k] for k in range(5)}) == 1 and len({of[k] for k in range(5, 10)}) == 1 and of[0] != of[9]
+
+
+def test_guard_equals_all_pairs(spark):
+    from weftline.operators import augment
+
+    rng = np.random.default_rng(3)
+    rows = [(k, *([str(x) for x in rng.integers(0, m, n)] for m in (12, 3))) for k in range(300) for n in [int(rng.integers(1, 7))]]
+    frame = lambda part: spark.createDataFrame(part, "id long, spacers array<string>, repeats array<string>")
+    own, held = rows[:240], rows[240:]
+    run = lambda a, b: any(b[0][i : i + len(a[0])] == a[0] and b[1][i : i + len(a[1])] == a[1] for i in range(len(b[0]) - len(a[0]) + 1))
+    tokens = lambda r: {("S", x) for x in r[1]} | {("R", x) for x in r[2]}
+    for d in (0.3, 0.6):
+        want = {r[0] for r in own if not any(run(r[1:], h[1:]) or run(h[1:], r[1:]) or 1 - len(tokens(r) & tokens(h)) / len(tokens(r) | tokens(h)) < d for h in held)}
+        assert {r["id"] for r in augment.guarded(frame(own), frame(held), d).collect()} == want

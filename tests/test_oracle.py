@@ -5,10 +5,6 @@ import pytest
 from tests.oracle import DATA, connect, rows_of, rows_of_sql
 from weftline.queries import ORACLE_SQL, QUERIES
 
-#: Rows only, and slow: iterated over many configurations.
-SLOW = {"q29b_consensus_communities", "q29c_config_sweep", "q57b_bulk_subsets", "q79_logistic_features"}
-
-
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_same_rows(spark, name):
     got = QUERIES[name](spark, DATA)
@@ -17,6 +13,6 @@ def test_same_rows(spark, name):
     assert rows_of(got) == want
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL) - SLOW))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
 def test_has_rows(spark, name):
     assert QUERIES[name](spark, DATA).count() > 0

@@ -37,7 +37,7 @@ def parse_type_label(raw: Column) -> Column:
     cas_class = F.when(stated != "", F.concat(F.lit("Class"), stated)).otherwise(fill(derived))
     known_type = kind.isin(*TYPE_CLASS)
     subtype = F.when(found.isin(*KNOWN_SUBTYPES) | found.isin(*TYPE_CLASS), found).otherwise(UNKNOWN)
-    coarse = subtype.isin(*TYPE_CLASS) & canonical.rlike("(?i)Type[_-][IVX]") & ~canonical.rlike("(?i)Subtype")
+    coarse = subtype.isin(*TYPE_CLASS) & canonical.rlike("(?i)Type[_-][IVX]+(?:$|[_-])") & ~canonical.rlike("(?i)Subtype")
     status = (
         F.when(~known_type, "unknown_type").when(coarse, "coarse_type_only").when(subtype == UNKNOWN, "unknown_subtype").otherwise("ok")
     )
@@ -71,8 +71,8 @@ def flip(direction: Column) -> Column:
 
 
 def agreement(a: Column, b: Column) -> Column:
-    known = a.isin("Forward", "Reverse") & b.isin("Forward", "Reverse")
-    return F.when(F.coalesce(~known, F.lit(True)), "not_comparable").when(a == b, "agree").otherwise("disagree")
+    """Unknown and null calls are not comparable; any other two are compared as they are."""
+    return F.when((fill(a) == UNKNOWN) | (fill(b) == UNKNOWN), "not_comparable").when(a == b, "agree").otherwise("disagree")
 
 
 def direction_label(direction: Column) -> Column:

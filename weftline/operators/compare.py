@@ -47,6 +47,7 @@ def pair_stats(rows: DataFrame, a: str, b: str, by: list[str] | None = None, whe
     )
     c = F.col
     shown = {k: c(k) for k in ("total", "comparable", "agree", "disagree", "a_only", "b_only", "neither")} | {
+        "n_skipped": c("total") - c("comparable"), "pct_disagree": pct(c("disagree"), c("comparable")), "pct_full_agree": pct(c("agree") + c("neither"), c("total")),
         "pct_agree": pct(c("agree"), c("comparable")), "pct_effective": pct(c("agree"), c("total")), "pct_coverage": pct(c("comparable"), c("total")),
         "pct_asymmetric": pct(c("a_only") + c("b_only"), c("total")), "pct_a_only": pct(c("a_only"), c("total")), "pct_b_only": pct(c("b_only"), c("total")),
         "pct_a_called": pct(c("a_called"), c("total")), "pct_b_called": pct(c("b_called"), c("total")),
@@ -118,20 +119,23 @@ def adjusted_rand(rows: DataFrame, a: str, b: str) -> DataFrame:
 
 
 def overlap_stats(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """How many groups of a are intact, split or merged in b, from distinct counts both ways."""
-    down = rows.groupBy(a).agg(F.count_distinct(b).alias("targets"))
-    up = rows.groupBy(b).agg(F.count_distinct(a).alias("sources"))
-    x = rows.select(a, b).distinct().join(down, a).join(up, b).groupBy(a).agg(F.max("targets").alias("targets"), F.max("sources").alias("sources"))
-    return x.agg(
-        F.count(F.lit(1)).alias("groups"), F.count_if((F.col("targets") == 1) & (F.col("sources") == 1)).alias("intact"),
-        F.count_if(F.col("targets") > 1).alias("split"), F.count_if((F.col("targets") == 1) & (F.col("sources") > 1)).alias("merged"),
-    )
+    """n_shared rows with a group on both sides, the groups of either side, and how many of these are in one group of the other side or in several.
+
+    A group of a in several of b is split; a group of b in several of a is merged.
+    """
+    both = rows.where(F.col(a).isNotNull() & F.col(b).isNotNull()).groupBy(a, b).agg(F.count(F.lit(1)).alias("__n"))
+
+    def side(one: str, other: str, name: str, apart: str) -> DataFrame:
+        groups = both.groupBy(one).agg(F.count(F.lit(1)).alias("k"), F.sum("__n").alias("__n"))
+        return groups.agg(F.count(F.lit(1)).alias(f"n_clusters_{name}"), F.count_if(F.col("k") == 1).alias(f"intact_{name}"), F.count_if(F.col("k") > 1).alias(f"{apart}_{name}"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n_shared"))
+
+    return side(a, b, "a", "split").join(side(b, a, "b", "merged").drop("n_shared"))  # one row each
 
 
 def forward_fractions(rows: DataFrame, group: str, call: str) -> DataFrame:
-    """n, forward share and kind (all_forward, all_reverse, mixed) of each group, Unknown calls aside."""
-    known = rows.where(F.col(call).isin("Forward", "Reverse")).groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg((F.col(call) == "Forward").cast("double")).alias("forward"))
-    return known.select(group, "n", "forward", F.when(F.col("forward") == 1, "all_forward").when(F.col("forward") == 0, "all_reverse").otherwise("mixed").alias("kind"))
+    """n, forward share of all its rows, Unknown ones too, and kind (all_forward, all_reverse if none is Forward, mixed) of each group."""
+    x = rows.groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg((labels.fill(F.col(call)) == "Forward").cast("double")).alias("forward"))
+    return x.select(group, "n", "forward", F.when(F.col("forward") == 1, "all_forward").when(F.col("forward") == 0, "all_reverse").otherwise("mixed").alias("kind"))
 
 
 def chi_square_2x2(rows: DataFrame, x: str, y: str) -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from weftline.functions import seq
 from weftline.operators.index import first_seen_ids
 
-#: The reserved ids before the vocabulary.
-RESERVED = ("<PAD>", "<CLS>", "<SEP>", "<UNK>", "A", "C", "G", "T")
+#: The reserved tokens, their ids by place; what no vocabulary knows is N.
+RESERVED = ("PAD", "CLS", "SEP", "A", "C", "G", "T", "N")
+PAD, CLS, SEP, N = 0, 1, 2, 7
 
 
 def characters(rows: DataFrame, key: str, text: str) -> DataFrame:
@@ -20,11 +21,28 @@ def characters(rows: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def vocabulary(tokens: DataFrame, token: str, order: list[str], reserved: int = len(RESERVED)) -> DataFrame:
-    """token, id: ids in first-seen order after the reserved ones."""
-    return first_seen_ids(tokens, token, order).select(token, (F.col("idx") + reserved).alias("id"))
+    """token, id of the tokens seen: reserved letters keep their ids, the others get ids in first-seen order after the reserved ones."""
+    letters = F.array_position(F.array(*map(F.lit, RESERVED)), F.col(token)) - 1
+    is_reserved = F.col(token).isin(*RESERVED[SEP + 1 :])
+    fixed = tokens.where(is_reserved).select(token).distinct().select(token, letters.alias("id"))
+    return fixed.unionByName(first_seen_ids(tokens.where(~is_reserved), token, order).select(token, (F.col("idx") + reserved).alias("id")))
 
 
-def encode(tokens: DataFrame, vocab: DataFrame, key: str, unknown: int = 3) -> DataFrame:
+def encode_dna(sequence: Column, cls: bool = False, sep: bool = False) -> Column:
+    """The ids of a sequence's letters, upper-cased, anything but A, C, G and T as N; with CLS before and SEP after if asked for. Empty gives no letters."""
+    letters = F.filter(F.split(seq.normalize_dna(sequence), ""), lambda x: x != "")
+    ids = F.transform(letters, lambda x: (F.array_position(F.array(*map(F.lit, RESERVED)), x) - 1).cast("long"))
+    mark = lambda on, v: F.array(F.lit(v).cast("long")) if on else F.array().cast("array<long>")
+    return F.concat(mark(cls, CLS), ids, mark(sep, SEP))
+
+
+def decode_dna(ids: Column) -> Column:
+    """The letters of ids; PAD, CLS and SEP are left out, unknown ids are N."""
+    kept = F.filter(ids, lambda x: ~x.isin(PAD, CLS, SEP))
+    return F.array_join(F.transform(kept, lambda x: F.coalesce(F.get(F.array(*map(F.lit, RESERVED)), x.cast("int")), F.lit("N"))), "")
+
+
+def encode(tokens: DataFrame, vocab: DataFrame, key: str, unknown: int = N) -> DataFrame:
     """key, ids, n: the sequence's ids in order; tokens outside the vocabulary are `unknown`."""
     rows = tokens.join(vocab, "token", "left").select(key, F.struct("pos", F.coalesce("id", F.lit(unknown).cast("long")).alias("id")).alias("x"))
     ids = F.transform(F.sort_array(F.collect_list("x")), lambda x: x["id"])
@@ -64,8 +82,10 @@ def softmax(logits: Column) -> Column:
 
 
 def alibi_slopes(heads: int) -> list[float]:
-    """2^(-8k/heads) for heads 1 to `heads`."""
-    return [2.0 ** (-8.0 * (k + 1) / heads) for k in range(heads)]
+    """2^(-8k/heads) for heads 1 to `heads`, a power of two; otherwise those of the power below, then every other one of twice that."""
+    below = 1 << (heads.bit_length() - 1)
+    own = [2.0 ** (-8.0 * (k + 1) / below) for k in range(below)]
+    return own if below == heads else own + alibi_slopes(2 * below)[::2][: heads - below]
 
 
 def alibi_bias(i: Column, j: Column, length: Column, slope: float) -> Column:
@@ -74,15 +94,15 @@ def alibi_bias(i: Column, j: Column, length: Column, slope: float) -> Column:
 
 
 def rotate(vector: Column, position: Column, base: float = 10000.0) -> Column:
-    """Rotary positions: components 2k and 2k+1 turn by position * base^(-2k/dim)."""
-    dim = F.size(vector)
+    """Rotary positions: components 2k and 2k+1 turn by position * base^(-2k/dim), dim the even part of the size; the last of an odd number stays."""
+    dim = F.size(vector) - F.size(vector) % 2
     angle = lambda k: position * F.pow(F.lit(base), -2.0 * k / dim)
 
     def turn(x: Column, i: Column) -> Column:
         k = F.floor(i / 2)
         a = angle(k)
         odd = F.get(vector, F.when(i % 2 == 0, i + 1).otherwise(i - 1))
-        return F.when(i % 2 == 0, x * F.cos(a) - odd * F.sin(a)).otherwise(odd * F.sin(a) + x * F.cos(a))
+        return F.when(i >= dim, x).when(i % 2 == 0, x * F.cos(a) - odd * F.sin(a)).otherwise(odd * F.sin(a) + x * F.cos(a))
 
     return F.transform(vector, turn)
 

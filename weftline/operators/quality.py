@@ -69,15 +69,15 @@ def early_stop(losses: DataFrame, run: str, epoch: str, loss: str, patience: int
 
 
 def plateau_rates(losses: DataFrame, run: str, epoch: str, loss: str, rate: float, factor: float = 0.5, patience: int = 3, least: float = 1e-6) -> DataFrame:
-    """run, final_rate: the rate is cut when more than `patience` epochs in a row bring no new best. One ordered fold a run (a run is a few hundred epochs)."""
+    """run, final_rate: the rate is cut when more than `patience` epochs in a row are not better than the best by a ten-thousandth of it. One ordered fold a run (a run is a few hundred epochs)."""
     seq = losses.groupBy(run).agg(F.transform(F.sort_array(F.collect_list(F.struct(epoch, loss))), lambda x: x[loss]).alias("l"))
     start = F.struct(F.lit(float("inf")).alias("best"), F.lit(0).alias("bad"), F.lit(float(rate)).alias("rate"))
 
     def step(s: Column, x: Column) -> Column:
-        better = x < s["best"]
+        better = x < s["best"] * (1 - 1e-4)
         bad = F.when(better, 0).otherwise(s["bad"] + 1)
         cut = bad > patience
-        return F.struct(F.least(s["best"], x).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"), F.when(cut, F.greatest(s["rate"] * factor, F.lit(least))).otherwise(s["rate"]).alias("rate"))
+        return F.struct(F.when(better, x).otherwise(s["best"]).alias("best"), F.when(cut, 0).otherwise(bad).alias("bad"), F.when(cut, F.greatest(s["rate"] * factor, F.lit(least))).otherwise(s["rate"]).alias("rate"))
 
     return seq.select(run, F.aggregate("l", start, step)["rate"].alias("final_rate"))
 

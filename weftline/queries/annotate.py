@@ -100,7 +100,7 @@ WITH raw AS (
   SELECT p_partkey, canonical, cas_type, cas_subtype,
     CASE WHEN stated <> '' THEN 'Class' || stated WHEN cas_type IN ('I', 'III', 'IV', 'VII') THEN 'Class1' WHEN cas_type IN ('II', 'V', 'VI') THEN 'Class2' ELSE 'Unknown' END AS cas_class,
     CASE WHEN cas_type NOT IN ({_TYPES_SQL}) THEN 'unknown_type'
-      WHEN cas_subtype IN ({_TYPES_SQL}) AND regexp_matches(canonical, '(?i)Type[_-][IVX]') AND NOT regexp_matches(canonical, '(?i)Subtype') THEN 'coarse_type_only'
+      WHEN cas_subtype IN ({_TYPES_SQL}) AND regexp_matches(canonical, '(?i)Type[_-][IVX]+($|[_-])') AND NOT regexp_matches(canonical, '(?i)Subtype') THEN 'coarse_type_only'
       WHEN cas_subtype = 'Unknown' THEN 'unknown_subtype' ELSE 'ok' END AS status FROM d)
 """
 

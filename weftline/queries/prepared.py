@@ -99,10 +99,10 @@ def q54_group_or_signature_components(spark: SparkSession, sf: str) -> DataFrame
     return cluster.group_or_signature_components(d.select("doc_id", g.alias("g"), F.md5("text").alias("signature")), "doc_id", "g", ["signature"])
 
 
-@query(f"""WITH {SQL_ARRAYS}, s AS (SELECT id, elements, unnest(range(1, (1 << len(elements))::BIGINT)) AS mask FROM ar WHERE len(elements) BETWEEN 3 AND 6)
+@query(f"""WITH {SQL_ARRAYS}, s AS (SELECT id, elements, unnest(range(1, (1 << len(elements))::BIGINT)) AS mask FROM ar WHERE len(elements) > 2)
 SELECT id, mask, array_to_string(list_filter(elements, lambda x, i: (mask >> (i - 1)) & 1 = 1), ',') AS subset FROM s WHERE bit_count(mask) BETWEEN 2 AND len(elements) - 1""")
 def q55_subset_enumerate(spark: SparkSession, sf: str) -> DataFrame:
-    out = augment.enumerate_subsets(arrays(spark, sf), 2, largest=6)
+    out = augment.enumerate_subsets(arrays(spark, sf), 2)
     return out.select("id", "mask", joined(F.col("subset")).alias("subset"))
 
 
@@ -119,12 +119,12 @@ def q56_subset_random(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _examples(spark: SparkSession, sf: str) -> DataFrame:
-    """id, spacers and repeats: parts modulo 601 as the one, modulo 211 as the other list."""
+    """id, spacers and repeats: parts modulo 60 as the one, modulo 7 as the other list."""
     named = lambda m: F.transform("elements", lambda x: (x % m).cast("string"))
-    return arrays(spark, sf).select("id", named(601).alias("spacers"), named(211).alias("repeats"))
+    return arrays(spark, sf).select("id", named(60).alias("spacers"), named(7).alias("repeats"))
 
 
-@query(f"""WITH {SQL_ARRAYS}, ex AS (SELECT id, list_transform(elements, lambda x: (x % 601)::VARCHAR) AS sp, list_transform(elements, lambda x: (x % 211)::VARCHAR) AS rp FROM ar),
+@query(f"""WITH {SQL_ARRAYS}, ex AS (SELECT id, list_transform(elements, lambda x: (x % 60)::VARCHAR) AS sp, list_transform(elements, lambda x: (x % 7)::VARCHAR) AS rp FROM ar),
 tk AS (SELECT DISTINCT id, unnest(list_concat(list_transform(sp, lambda x: 'S:' || x), list_transform(rp, lambda x: 'R:' || x))) AS t FROM ex), nn AS (SELECT id, count(*) AS n FROM tk GROUP BY 1),
 pa AS (SELECT x.id AS a, y.id AS b, count(*) AS k FROM tk x JOIN tk y ON x.t = y.t AND x.id % 10 <> 0 AND y.id % 10 = 0 GROUP BY 1, 2),
 ds AS (SELECT a, min(1 - k::DOUBLE / (p.n + q.n - k)) AS d FROM pa JOIN nn p ON p.id = a JOIN nn q ON q.id = b GROUP BY a),

@@ -95,3 +95,10 @@ def best_runs(runs: DataFrame, name: str, order: str, highest: list[str], lowest
 
 def reliable_strata(rows: DataFrame, stratum: str, n: str, least: int = 5) -> DataFrame:
     return rows.groupBy(stratum).agg(F.max(n).alias("most")).where(F.col("most") >= least)
+
+
+def log_loss(rows: DataFrame, label: str, score: str, by: list[str] | None = None, least: float = 1e-7) -> DataFrame:
+    """n and the mean binary cross-entropy of scores, kept `least` away from 0 and 1; rows without label or score are left out."""
+    known = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull())
+    p = F.least(F.greatest(F.col(score), F.lit(least)), F.lit(1 - least))
+    return known.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("n"), F.avg(-(F.col(label) * F.log(p) + (1 - F.col(label)) * F.log(1 - p))).alias("loss"))

@@ -19,7 +19,10 @@ def components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFram
     both = materialize(pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
     labels = materialize(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("label")), "labels")
     if labels.limit(1).count() == 0:
-        return labels.select("node", F.col("label").alias("component"))
+        discard(both)
+        none = labels.select("node", F.col("label").alias("component"))
+        none.scratch = labels.scratch
+        return none
     while True:
         near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("m"))
         hooked = labels.join(near, labels["node"] == near["a"]).select("node", F.least("label", "m").alias("next"), F.col("label").alias("was"))

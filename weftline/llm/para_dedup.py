@@ -22,7 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from weftline.llm.ngram_join import BRIEF, BROADCAST_IDS, _M3, _WORDS, _mix, _signed, _texts, link_lists, may_link, sketch
+from weftline.llm.ngram_join import BRIEF, BROADCAST_IDS, _texts, link_lists, may_link, sketch
+from weftline.llm.words import M3, batch_words, grams, in_parts, mix
 from weftline.operators.graph import components
 from weftline.runtime import discard, materialize, on_workers
 
@@ -36,80 +37,82 @@ def tune_bands(threshold: float, recall: float, rows: int = 3) -> tuple[int, int
     return int(np.ceil(np.log(1 - recall) / np.log(1 - hit))), rows
 
 
-def word_hashes(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """(hash of each word, first word of each line and the end)."""
-    own = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")] if text else []
-    flat = [w for line in own for w in line]
-    bounds = np.concatenate([[0], np.cumsum([len(line) for line in own])]).astype(np.int64)
-    return np.fromiter(map(_WORDS.__getitem__, flat), np.uint64, len(flat)), bounds
+def anchors(g: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Places of the windows of all texts: the smallest gram of each SPREAD places in a row (the last one on ties), or of all places of a text that has fewer."""
+    best = np.arange(len(g))
+    step = 1
+    while step < SPREAD:
+        early, late = best[: max(0, len(best) - step)], best[step:]
+        best = np.where(g[late] <= g[early], late, early)
+        step *= 2
+    first, size = docs[:-1], np.diff(docs)
+    many = np.maximum(0, size - WINDOW_WORDS - SPREAD + 2)
+    at = best[_ranges(first, many)]
+    few = [int(a + n - 1 - np.argmin(g[a : a + n][::-1])) for a, n in zip(first.tolist(), (size - WINDOW_WORDS + 1).tolist(), strict=True) if 0 < n < SPREAD]
+    return np.concatenate([at[:1], at[1:][at[1:] != at[:-1]], np.array(few, np.int64)])
 
 
-def _runs(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n words from each place on."""
-    with np.errstate(over="ignore"):
-        out = np.zeros(len(at), np.uint64)
-        for k in range(n):
-            out *= _M3
-            out += h[at + k]
-        return _mix(out + np.uint64(n))
-
-
-def paragraph_shingles(h: np.ndarray, start: int, end: int) -> np.ndarray:
-    return np.unique(_runs(h, np.arange(start, end - SHINGLE + 1), SHINGLE))
+def _ranges(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ..., many[0] of them, then those of first[1]."""
+    return np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
 
 
-def anchors(h: np.ndarray) -> np.ndarray:
-    """Places of the windows of a text: the smallest hash of each SPREAD places in a row (the last one on ties)."""
-    n = len(h) - WINDOW_WORDS + 1
-    if n < 1:
-        return np.zeros(0, np.int64)
-    rank = _runs(h, np.arange(n), 3)
-    if n <= SPREAD:
-        return np.array([n - 1 - int(np.argmin(rank[::-1]))])
-    near = np.lib.stride_tricks.sliding_window_view(rank, SPREAD)[:, ::-1]
-    return np.unique(np.arange(len(near)) + SPREAD - 1 - near.argmin(axis=1))
+def _windows(g: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Hash of the WINDOW_WORDS words from each place on, from the grams they are made of."""
+    with np.errstate(over="ignore"):
+        out = g[at]
+        for k in range(SHINGLE, WINDOW_WORDS, SHINGLE):
+            out = out * M3 + g[at + k]
+        return mix(out + np.uint64(WINDOW_WORDS))
 
 
-def _paragraphs(h: np.ndarray, bounds: np.ndarray) -> list[tuple[int, int]]:
-    return [(int(a), int(b)) for a, b in zip(bounds, bounds[1:], strict=False) if b - a >= PARAGRAPH_WORDS]
+def _names(h: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of the words from a to b, each times an odd number that tells its place."""
+    with np.errstate(over="ignore"):
+        mixed = mix(h)
+        one = np.concatenate([[0], np.cumsum(mixed)]).astype(np.uint64)
+        placed = np.concatenate([[0], np.cumsum(mixed * np.arange(len(h), dtype=np.uint64))]).astype(np.uint64)
+        first = a.astype(np.uint64)
+        total = one[b] - one[a]
+        return mix(np.uint64(2) * (placed[b] - placed[a] - first * total) + total + (b - a).astype(np.uint64))
+
+
+def _band_keys(g: np.ndarray, a: np.ndarray, b: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A key a band for each paragraph: the smallest of its grams by each of `rows` orders (products with odd numbers; repeats do not change a minimum)."""
+    many = b - a - SHINGLE + 1
+    flat, starts = g[_ranges(a, many)], np.cumsum(many) - many
+    keys = np.zeros((len(a), bands), np.uint64)
+    with np.errstate(over="ignore"):
+        for band in range(bands):
+            key = np.full(len(a), np.uint64(band + 1))
+            for r in range(rows):
+                odd = mix(np.array([band * rows + r + 1], np.uint64)) | np.uint64(1)
+                key = mix(key * M3 + np.minimum.reduceat(flat * odd, starts))
+            keys[:, band] = key
+    return keys
 
 
 def unit_rows(texts: DataFrame, bands: int, rows: int) -> DataFrame:
-    """id, start, words, unit and keys of every paragraph and window: a paragraph's unit names its words, and it has band keys; a window has none."""
+    """id, at, start, words, unit and keys of every paragraph and window: a paragraph's unit names its words, and it has band keys; a window has none."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found, sets, ids, places, units = [], [], [], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for key, text in zip(batch["id"].tolist(), batch["text"], strict=True):
-                h, bounds = word_hashes(text)
-                at = anchors(h)
-                ids.append(np.full(len(at), key, np.int64))
-                places.append(at)
-                units.append(_runs(h, at, WINDOW_WORDS))
-                own = _paragraphs(h, bounds)
-                grams = _runs(h, np.arange(len(h) - SHINGLE + 1), SHINGLE) if own else None
-                for a, b in own:
-                    with np.errstate(over="ignore"):
-                        unit = _mix((_mix(h[a:b]) * (2 * np.arange(b - a, dtype=np.uint64) + np.uint64(1))).sum() + np.uint64(b - a))
-                    found.append((key, a, b - a, int(unit.view(np.int64))))
-                    sets.append(grams[a : b - SHINGLE + 1])  # repeats do not change a minimum
-            at = np.concatenate(places).astype(np.int32)
-            yield pd.DataFrame({"id": np.concatenate([*ids, np.zeros(0, np.int64)]), "start": at, "words": WINDOW_WORDS, "unit": _signed(np.concatenate(units)), "keys": None})
-            if not found:
+        for batch in in_parts(batches):
+            ids, ats = batch["id"].to_numpy(np.int64), batch["at"].to_numpy(np.int64)
+            h, docs, lines = batch_words(batch["text"])
+            g = grams(h, SHINGLE)
+            at = anchors(g, docs)
+            doc = np.searchsorted(docs, at, "right") - 1
+            yield pd.DataFrame({"id": ids[doc], "at": ats[doc], "start": (at - docs[doc]).astype(np.int32), "words": WINDOW_WORDS, "unit": _windows(g, at).view(np.int64), "keys": None})
+            a, b = lines[:-1], lines[1:]
+            a, b = a[b - a >= PARAGRAPH_WORDS], b[b - a >= PARAGRAPH_WORDS]
+            if not len(a):
                 continue
-            flat, starts = np.concatenate(sets), np.cumsum([0, *map(len, sets)])[:-1]
-            keys = []
-            with np.errstate(over="ignore"):
-                for band in range(bands):
-                    key = np.full(len(sets), np.uint64(band + 1))
-                    for r in range(rows):
-                        key = _mix(key * _M3 + np.minimum.reduceat(_mix(flat ^ np.uint64((band * rows + r + 1) * 0x9E3779B97F4A7C15 % 2**64)), starts))
-                    keys.append(_signed(key))
-            out = pd.DataFrame(found, columns=["id", "start", "words", "unit"])
-            out["keys"] = list(np.stack(keys, axis=1))
+            doc = np.searchsorted(docs, a, "right") - 1
+            out = pd.DataFrame({"id": ids[doc], "at": ats[doc], "start": (a - docs[doc]).astype(np.int32), "words": (b - a).astype(np.int32), "unit": _names(h, a, b).view(np.int64)})
+            out["keys"] = list(_band_keys(g, a, b, bands, rows).view(np.int64))
             yield out
 
-    return texts.where("id IS NOT NULL").mapInPandas(run, "id long, start int, words int, unit long, keys array<long>")
+    return texts.where("id IS NOT NULL").mapInPandas(run, "id long, at long, start int, words int, unit long, keys array<long>")
 
 
 def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
@@ -118,25 +121,30 @@ def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> Da
     In a band each paragraph is compared with the bucket's smallest name, then with every other one in the bucket that is not yet in
     its component: buckets of linked paragraphs cost their length, and only unlinked members cost their pairs.
     """
-    one = materialize(rows.groupBy("unit").agg(F.min(F.struct("id", "start", "words", "keys")).alias("o")), "one")
+    one = materialize(rows.groupBy("unit").agg(F.min(F.struct("id", "at", "start", "words", "keys")).alias("o")), "one")
     keyed = one.select("unit", F.explode("o.keys").alias("key")).distinct()
     lists = keyed.withColumn("hub", F.min("unit").over(Window.partitionBy("key"))).where("unit <> hub")
     lists = materialize(lists.select("key", "hub", F.col("unit").alias("node")), "lists")
     pairs = materialize(lists.select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
     asked = pairs.select(F.col("a").alias("unit")).unionByName(pairs.select(F.col("b").alias("unit"))).distinct()
-    asked = materialize(asked.join(one, "unit").select("unit", "o.id", "o.start", "o.words"), "asked")
+    asked = asked.join(one, "unit").groupBy("o.id", "o.at").agg(F.collect_list(F.struct("unit", "o.start", "o.words")).alias("places"))
+    asked = materialize(asked, "asked")  # a row a text, with its own paragraphs
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            sets = []
-            for text, start, words in zip(batch["text"], batch["start"], batch["words"], strict=True):
-                h, _ = word_hashes(text)
-                sets.append(paragraph_shingles(h, start, min(len(h), start + words)))
-            yield pd.DataFrame({"node": batch["unit"], "n": list(map(len, sets)), "brief": [sketch(x, BRIEF) for x in sets], "tokens": list(map(_signed, sets))})
+        for batch in in_parts(batches):
+            h, docs, _ = batch_words(batch["text"])
+            g = grams(h, SHINGLE)
+            rows = []
+            for first, places in zip(docs[:-1].tolist(), batch["places"], strict=True):
+                for p in places:
+                    a = first + p["start"]
+                    tokens = np.unique(g[a : a + p["words"] - SHINGLE + 1])
+                    rows.append((p["unit"], len(tokens), sketch(tokens, BRIEF), tokens.view(np.int64)))
+            yield pd.DataFrame(rows, columns=["node", "n", "brief", "tokens"])
 
     few = asked.count() <= BROADCAST_IDS
-    sets = texts.join(F.broadcast(asked) if few else asked, "id").select("unit", "start", "words", "text").mapInPandas(run, "node long, n int, brief array<long>, tokens array<long>")
-    sets = materialize(sets, "sets")  # every member of a list is here
+    sets = texts.join(F.broadcast(asked) if few else asked, ["id", "at"]).select("places", "text").mapInPandas(run, "node long, n int, brief array<long>, tokens array<long>")
+    sets = materialize(sets.dropDuplicates(["node"]), "sets")  # every member of a list is here; rows that repeat id and text give theirs once
 
     def compare(pairs: DataFrame) -> DataFrame:
         of = sets.select("node", "n", "brief", "tokens")
@@ -154,32 +162,36 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     start_word counts the words (runs without ASCII white space) of the whole text. cluster_id names the passage; keep_id is the smallest
     id that has it, whose spans are kept. Only passages in two documents or more count. Null and empty texts and null ids have no
-    spans; rows that repeat an id are one document. Other columns are ignored.
+    spans. Rows that repeat id and text are one row; rows that repeat an id with other texts are one document, with spans in each text.
+    A passage of LEAST_WORDS + 2 * (SPREAD - 1) words or more that two documents share word for word always counts. Other columns are ignored.
     """
     on_workers(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
+    # A text's hash tells the texts of one id apart; it travels with every window only where some id has two.
+    twice = texts.groupBy("id").agg(F.min(F.xxhash64("text")).alias("lo"), F.max(F.xxhash64("text")).alias("hi")).where("id IS NOT NULL AND lo < hi").limit(1).count()
+    texts = texts.withColumn("at", F.xxhash64("text") if twice else F.lit(0).cast("long"))
     bands, rows = tune_bands(percent / 100, recall)
     found = materialize(unit_rows(texts, bands, rows), "found")
-    paragraphs, windows = found.where("keys IS NOT NULL"), found.where("keys IS NULL").select("id", "start", "unit")
+    paragraphs, windows = found.where("keys IS NOT NULL"), found.where("keys IS NULL").select("id", "at", "start", "unit")
     of_paragraphs = _paragraph_components(texts, paragraphs, percent)
-    named = paragraphs.select("id", "start", "words", "unit").join(of_paragraphs, paragraphs["unit"] == of_paragraphs["node"], "left")
-    named = named.select("id", "start", "words", F.coalesce("component", "unit").alias("unit"))
+    named = paragraphs.select("id", "at", "start", "words", "unit").join(of_paragraphs, paragraphs["unit"] == of_paragraphs["node"], "left")
+    named = named.select("id", "at", "start", "words", F.coalesce("component", "unit").alias("unit"))
     shared = named.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit")
-    spans = named.join(shared, "unit").select("id", "start", (F.col("start") + F.col("words")).alias("end"), F.xxhash64(F.lit("paragraph"), "unit").alias("unit"))
+    spans = named.join(shared, "unit").select("id", "at", "start", (F.col("start") + F.col("words")).alias("end"), F.xxhash64(F.lit("paragraph"), "unit").alias("unit"))
 
     common = materialize(windows.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit"), "common")
     few = common.count() <= BROADCAST_IDS
-    hits = windows.join(F.broadcast(common) if few else common, "unit").select("id", "start", (F.col("start") + WINDOW_WORDS).alias("end"), "unit")
+    hits = windows.join(F.broadcast(common) if few else common, "unit").select("id", "at", "start", (F.col("start") + WINDOW_WORDS).alias("end"), "unit")
     units = materialize(hits.unionByName(spans), "units")
 
     # Overlapping units of a document are one span: a new one begins where no unit before reaches.
-    order = Window.partitionBy("id").orderBy("start", "end", "unit")
+    order = Window.partitionBy("id", "at").orderBy("start", "end", "unit")
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = units.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    runs = materialize(marked.withColumn("run", F.sum("new").over(order)).select("id", "run", "start", "end", "unit"), "runs")
-    whole = runs.groupBy("id", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("unit").alias("first"))
+    runs = materialize(marked.withColumn("run", F.sum("new").over(order)).select("id", "at", "run", "start", "end", "unit"), "runs")
+    whole = runs.groupBy("id", "at", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("unit").alias("first"))
     whole = whole.where(F.col("end_word") - F.col("start_word") >= LEAST_WORDS)
-    edges = runs.join(whole.select("id", "run", "first"), ["id", "run"]).select(F.col("first").alias("a"), F.col("unit").alias("b")).distinct()
+    edges = runs.join(whole.select("id", "at", "run", "first"), ["id", "at", "run"]).select(F.col("first").alias("a"), F.col("unit").alias("b")).distinct()
     passage = components(edges, "a", "b")
     spans = whole.join(passage, whole["first"] == passage["node"]).select("id", "start_word", "end_word", F.col("component").alias("cluster_id"))
     spans = materialize(spans, "spans")

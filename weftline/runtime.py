@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -30,22 +32,29 @@ def scratch_dir(spark: SparkSession) -> str:
 _WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
-def materialize(df: DataFrame, name: str = "rows") -> DataFrame:
-    """Write df once to the shared scratch folder as Parquet and read it back.
-
-    Cuts the lineage: a lost executor costs a re-read of files, not a recomputation, and Python stages that feed
-    several consumers run once. The shuffle files behind df go when the write ends; the written ones when `discard` is told.
-    """
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+@contextmanager
+def writing(spark: SparkSession) -> Iterator[None]:
+    """Settings of a write hold inside."""
     was = {key: spark.conf.get(key, None) for key in _WRITING}
     try:
         for key, value in _WRITING.items():
             spark.conf.set(key, value)
-        df.write.parquet(path)
+        yield
     finally:
         for key, value in was.items():
             spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def materialize(df: DataFrame, name: str = "rows", partition_by: Sequence[str] = ()) -> DataFrame:
+    """Write df once to the shared scratch folder as Parquet, in folders by partition_by if given, and read it back.
+
+    Cuts the lineage: a lost executor costs a re-read of files, not a recomputation, and Python stages that feed
+    several consumers run once. The shuffle files behind df go when the write ends; the written ones when `discard` is told.
+    """
+    spark = df.sparkSession
+    path = f"{scratch_dir(spark)}/weftline-{name}-{uuid.uuid4().hex}"
+    with writing(spark):
+        df.write.partitionBy(*partition_by).parquet(path) if partition_by else df.write.parquet(path)
     written = spark.read.schema(df.schema).parquet(path)
     written.scratch = path
     return written

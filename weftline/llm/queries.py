@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, exact_dedup, html_main, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
+from weftline.llm import chat_format, exact_dedup, html_main, line_runs, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
 from weftline.runtime import scratch_dir, table
 
 
@@ -158,6 +158,29 @@ WITH v AS (
 SELECT * FROM r WHERE rank <= 5
 """
 
+
+
+def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP13_SQL = r"""
+WITH d AS (
+  SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS lines, row_number() OVER () AS r FROM documents
+), x AS (
+  SELECT r, doc_id, unnest(lines) AS line, generate_subscripts(lines, 1) AS i FROM d
+), k AS (
+  SELECT *, translate(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM x
+), f AS (
+  SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key
+), m AS (
+  SELECT k.*, coalesce(f.first < k.doc_id, FALSE) AS gone FROM k LEFT JOIN f USING (key)
+)
+SELECT any_value(doc_id) AS doc_id, count(*)::BIGINT AS n_lines, sum(gone::BIGINT)::BIGINT AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (NOT gone), '')) AS kept_sha256
+FROM m GROUP BY r
+"""
+
 QUERIES = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_html_main_text": op2_html_main_text,
@@ -169,6 +192,7 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_exact_topk": op10_exact_topk,
+    "op13_line_dedup": op13_line_dedup,
 }
 
 ORACLE_SQL = {
@@ -176,4 +200,5 @@ ORACLE_SQL = {
     "op5_source_mixing": OP5_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op13_line_dedup": OP13_SQL,
 }

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, exact_dedup, html_main, line_runs, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
+from weftline.llm import chat_format, collocations, exact_dedup, html_main, line_runs, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
 from weftline.runtime import scratch_dir, table
 
 
@@ -160,6 +160,41 @@ SELECT * FROM r WHERE rank <= 5
 
 
 
+def op11_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine_collocations(table(spark, sf_dir, "documents").select("text", "lang"))
+
+
+OP11_SQL = r"""
+WITH p AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents
+), w AS (
+  SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p
+), g AS (
+  SELECT lang, unnest(flatten(list_transform(range(1, 6), lambda n: list_transform(range(1, len(w) - n + 2), lambda i: w[i:i + n - 1])))) AS g FROM w
+), c AS (
+  SELECT lang, g, count(*)::HUGEINT AS f FROM g GROUP BY lang, g
+), n AS (
+  SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE len(g) = 1 GROUP BY lang
+), k AS (
+  SELECT lang, g, f FROM c WHERE len(g) > 1 AND f >= 100
+), inside AS (
+  SELECT DISTINCT lang, part FROM (
+    SELECT lang, f, unnest(flatten(list_transform(range(2, len(g)), lambda m: list_transform(range(1, len(g) - m + 2), lambda i: g[i:i + m - 1])))) AS part FROM k
+  ) x JOIN (SELECT lang, g AS part, f AS a FROM k) y USING (lang, part) WHERE 100 * x.f >= 100 * y.a
+), cuts AS (
+  SELECT k.lang, k.g, k.f AS a, unnest(range(1, len(k.g))) AS cut FROM k ANTI JOIN inside ON k.lang = inside.lang AND k.g = inside.part
+), s AS (
+  SELECT cuts.lang, cuts.g, a, l.f AS l, r.f AS r, n.n, (1000 * a * n.n) // (l.f * r.f) AS score, cut
+  FROM cuts JOIN n ON n.lang = cuts.lang JOIN c l ON l.lang = cuts.lang AND l.g = cuts.g[1:cut] JOIN c r ON r.lang = cuts.lang AND r.g = cuts.g[cut + 1:]
+), b AS (
+  SELECT *, array_to_string(g, ' ') AS phrase FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, cut) = 1
+), o AS (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM b
+)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score FROM o WHERE rank <= 2000
+"""
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -192,6 +227,7 @@ QUERIES = {
     "op8_passage_dedup": op8_passage_dedup,
     "op9_chat_formatting": op9_chat_formatting,
     "op10_exact_topk": op10_exact_topk,
+    "op11_phrase_collocations": op11_phrase_collocations,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -200,5 +236,6 @@ ORACLE_SQL = {
     "op5_source_mixing": OP5_SQL,
     "op9_chat_formatting": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
+    "op11_phrase_collocations": OP11_SQL,
     "op13_line_dedup": OP13_SQL,
 }

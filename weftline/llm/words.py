@@ -28,10 +28,30 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def hash_runs(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Hash of each run data[start:end] of one byte or more; eight bytes at least must follow the last run in data.
+
+    Runs of eight bytes or fewer never share a hash with one of their length.
+    """
+    size = ends - starts
+    blocks = np.ndarray((len(data) - 7,), "<u8", data, strides=(1,))
+    with np.errstate(over="ignore"):
+        h = mix((blocks[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * M3)
+        more = np.flatnonzero((size > 8) & (size <= LONG))
+        k = 8
+        while len(more):
+            h[more] = mix(h[more] * M3 + (blocks[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]))
+            k += 8
+            more = more[size[more] > k]
+    for at in np.flatnonzero(size > LONG).tolist():
+        h[at] = xxhash.xxh3_64_intdigest(data[starts[at] : ends[at]])
+    return h
+
+
 def batch_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(hash of each word of all texts in order, first word of each text and the end, first word of each line of all texts and the end).
 
-    Null texts count as empty. A line belongs to one text. Words of eight bytes or fewer never share a hash with one of their length.
+    Null texts count as empty. A line belongs to one text.
     """
     raw = [t.encode("utf-8", "surrogatepass").lower() if t else b"" for t in texts]
     data = b"\n".join([*raw, b"\0" * 8])
@@ -43,19 +63,7 @@ def batch_words(texts: Iterable[str | None]) -> tuple[np.ndarray, np.ndarray, np
     inside[1:-1] = ~_SPACE[flat[:n]]
     turns = np.flatnonzero(inside[1:] != inside[:-1])
     starts, ends = turns[::2], turns[1::2]
-    size = ends - starts
-    blocks = np.ndarray((n + 1,), "<u8", data, strides=(1,))
-    h = np.zeros(len(starts), np.uint64)
-    with np.errstate(over="ignore"):
-        h = mix((blocks[starts] & _MASKS[np.minimum(size, 8)]) + size.astype(np.uint64) * M3)
-        more = np.flatnonzero((size > 8) & (size <= LONG))
-        k = 8
-        while len(more):
-            h[more] = mix(h[more] * M3 + (blocks[starts[more] + k] & _MASKS[np.minimum(size[more] - k, 8)]))
-            k += 8
-            more = more[size[more] > k]
-    for at in np.flatnonzero(size > LONG).tolist():
-        h[at] = xxhash.xxh3_64_intdigest(data[starts[at] : ends[at]])
+    h = hash_runs(data, starts, ends)
     lines = np.searchsorted(starts, np.concatenate([[0], np.flatnonzero(flat[:n] == 10) + 1]))
     return h, np.searchsorted(starts, begins), lines
 

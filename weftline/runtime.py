@@ -73,6 +73,16 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def move(spark: SparkSession, source: str, target: str) -> None:
+    """Rename a folder to one that is not there yet; the folders above are made."""
+    jvm = spark.sparkContext._jvm
+    a, b = jvm.org.apache.hadoop.fs.Path(source), jvm.org.apache.hadoop.fs.Path(target)
+    files = a.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(b.getParent())
+    if not files.rename(a, b):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
 def on_workers(spark: SparkSession) -> None:
     """Let Python workers import this package by its place; clusters that don't share that folder get it by --py-files."""
     root, env = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.llm import chat_format, collocations, exact_dedup, html_main, line_runs, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
+from weftline.llm import chat_format, collocations, exact_dedup, html_main, leaderboard, line_runs, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
 from weftline.runtime import scratch_dir, table
 
 
@@ -195,6 +195,48 @@ SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BI
 """
 
 
+def op12_leaderboard_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaderboard.change_feed(*(table(spark, sf_dir, name) for name in ("sale_lines", "items", "vendors")))
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(list_prepend(i, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS c FROM range(256) r(i))
+), k AS (
+  SELECT *, concat_ws(',', coalesce(sale_id::VARCHAR, ''), coalesce(item_id::VARCHAR, ''), coalesce(vendor_id::VARCHAR, ''), coalesce(line_no::VARCHAR, '')) AS key FROM sale_lines
+), h AS (
+  SELECT k.*, xor(list_reduce(list_prepend(4294967295, list_transform(string_split(key, ''), lambda c: ord(c)::BIGINT)), lambda a, b: xor(a >> 8, t.t[(xor(a, b) & 255) + 1])), 4294967295) AS h FROM k, t
+), s AS (
+  SELECT *, coalesce(CAST(shipped_at AS DATE) - DATE '1970-01-01', 19723 + h % 150)::BIGINT AS s FROM h
+), a AS (
+  SELECT *, s + h % 7 + CASE WHEN h % 5 = 0 THEN 20 ELSE 0 END AS a FROM s
+), b AS (
+  SELECT *, least(10, 1 + (a - 19723) * 10 // 180)::INTEGER AS batch FROM a
+), m AS (
+  SELECT batch, max(max(s)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS newest FROM b GROUP BY batch
+), c AS (
+  SELECT nation_id, item_id, a, sum(CASE WHEN flag = 'swapped' THEN -1 ELSE 1 END * coalesce(floor(100 * amount + 0.5), quantity * floor(100 * price + 0.5), 0)) AS cents
+  FROM b JOIN m USING (batch) JOIN vendors USING (vendor_id) JOIN items USING (item_id)
+  WHERE nation_id IS NOT NULL AND s + 3 >= coalesce(newest, s) GROUP BY nation_id, item_id, a
+), d AS (
+  SELECT a, lead(a) OVER (ORDER BY a) AS next FROM (SELECT DISTINCT a FROM c)
+), r AS (
+  SELECT nation_id, item_id, a AS since, sum(cents) OVER w AS revenue, lead(a) OVER w AS until FROM c WINDOW w AS (PARTITION BY nation_id, item_id ORDER BY a)
+), e AS (
+  SELECT nation_id, item_id, d.a, d.next, revenue, CASE WHEN revenue > 0 THEN row_number() OVER (PARTITION BY nation_id, d.a ORDER BY revenue DESC, item_id) END AS rank
+  FROM r JOIN d ON d.a >= since AND (until IS NULL OR d.a < until)
+), f AS (
+  SELECT * REPLACE (CASE WHEN rank <= 10 THEN rank END AS rank) FROM e
+), p AS (
+  SELECT f.nation_id, f.item_id, f.a, f.revenue, o.rank AS old_rank, f.rank AS new_rank FROM f LEFT JOIN f o ON o.nation_id = f.nation_id AND o.item_id = f.item_id AND o.next = f.a
+)
+SELECT nation_id, a AS arrival_day, item_id, least(10, 1 + (a - 19723) * 10 // 180)::INTEGER AS batch, CASE WHEN old_rank IS NULL THEN 'enter' WHEN new_rank IS NULL THEN 'exit' ELSE 'move' END AS change,
+       old_rank::INTEGER AS old_rank, new_rank::INTEGER AS new_rank, revenue::BIGINT AS revenue
+FROM p WHERE old_rank IS DISTINCT FROM new_rank
+"""
+
+
 def op13_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_runs.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -228,6 +270,7 @@ QUERIES = {
     "op9_chat_formatting": op9_chat_formatting,
     "op10_exact_topk": op10_exact_topk,
     "op11_phrase_collocations": op11_phrase_collocations,
+    "op12_leaderboard_feed": op12_leaderboard_feed,
     "op13_line_dedup": op13_line_dedup,
 }
 
@@ -237,5 +280,6 @@ ORACLE_SQL = {
     "op9_chat_formatting": OP9_SQL,
     "op10_exact_topk": OP10_SQL,
     "op11_phrase_collocations": OP11_SQL,
+    "op12_leaderboard_feed": OP12_SQL,
     "op13_line_dedup": OP13_SQL,
 }

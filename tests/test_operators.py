@@ -134,7 +134,8 @@ def test_first_seen_ids_are_dense(spark):
 
 def test_local_moves_find_two_cliques():
     clique = lambda ids: [(a, b, 1.0) for a in ids for b in ids if a < b]
-    of = community.local_moves(clique(range(5)) + clique(range(5, 10)) + [(4, 5, 0.1)], 1.0)
+    edges = clique(range(5)) + clique(range(5, 10)) + [(4, 5, 0.1)]
+    of = community.multilevel(edges, 1.0, 2 * sum(w for _, _, w in edges), 42)
     assert len({of[k] for k in range(5)}) == 1 and len({of[k] for k in range(5, 10)}) == 1 and of[0] != of[9]
 
 
@@ -150,3 +151,29 @@ def test_guard_equals_all_pairs(spark):
     for d in (0.3, 0.6):
         want = {r[0] for r in own if not any(run(r[1:], h[1:]) or run(h[1:], r[1:]) or 1 - len(tokens(r) & tokens(h)) / len(tokens(r) | tokens(h)) < d for h in held)}
         assert {r["id"] for r in augment.guarded(frame(own), frame(held), d).collect()} == want
+
+
+def test_weighted_sample_draws_exactly_n(spark):
+    from collections import Counter
+
+    from weftline.operators import augment
+
+    rows = [(k, w) for k, w in enumerate([1.0, 0.0, None, -2.0, 3.0, 0.5, 5.5])] + [(0, 1.0), (0, 0.0)]
+    frame = spark.createDataFrame(rows, "id long, w double")
+    got = augment.weighted_sample(frame, "id", "w", 11_000, 5).collect()
+    assert sorted(r["draw"] for r in got) == list(range(11_000))
+    times = Counter(r["id"] for r in got)
+    assert set(times) == {0, 4, 5, 6} and all(abs(times[k] - 1000 * w) < 5 * (1000 * w) ** 0.5 for k, w in {0: 2, 4: 3, 5: 0.5, 6: 5.5}.items())
+    assert augment.weighted_sample(frame.where("w <= 0"), "id", "w", 10, 5).collect() == []
+
+
+def test_running_totals(spark):
+    from weftline.operators import augment
+
+    rows = [((k * 7919) % 1000, k % 5) for k in range(1000)]
+    out = augment.running_totals(spark.createDataFrame(rows, "id long, v long").repartition(5), ["id"], "v").collect()
+    total, want = 0, {}
+    for i, v in sorted(rows):
+        total += v
+        want[i] = total
+    assert {r["id"]: r["upto"] for r in out} == want

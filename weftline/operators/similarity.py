@@ -55,10 +55,15 @@ def nearest_neighbours(sets: DataFrame, k: int, least: float, key: str = "id", e
 
     Edges come from both ends, so mutual neighbours weigh twice.
     """
-    pairs = sharing_pairs(sets, key=key, element=element).select("a", "b", measure("jaccard").alias("similarity"))
+    return nearest_of(similar_pairs(sets, least, key=key, element=element), k, least)
+
+
+def nearest_of(pairs: DataFrame, k: int, least: float) -> DataFrame:
+    """`nearest_neighbours` from pairs (a, b, similarity) that hold all of at least `least`."""
+    pairs = pairs.where(F.col("similarity") >= least)
     both = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     order = Window.partitionBy("a").orderBy(F.col("similarity").desc(), "b")
-    top = both.withColumn("r", F.row_number().over(order)).where((F.col("r") <= k) & (F.col("similarity") >= least))
+    top = both.withColumn("r", F.row_number().over(order)).where(F.col("r") <= k)
     edges = top.select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"), "similarity")
     return edges.groupBy("src", "dst").agg(F.max("similarity").alias("similarity"), F.count(F.lit(1)).alias("times")).select("src", "dst", (F.col("similarity") * F.col("times")).alias("weight"))
 

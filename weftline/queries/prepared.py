@@ -164,7 +164,11 @@ def q59_inverse_weights(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("lang", "n", round_half_even(F.col("weight"), 9).alias("weight"))
 
 
-@query()
+@query("""WITH c AS (SELECT lang, count(*) AS n FROM documents GROUP BY 1), r AS (SELECT *, least(10.0::DOUBLE, pow(max(n) OVER () / n, 1.0::DOUBLE)) AS raw FROM c),
+w AS (SELECT lang, raw * sum(n) OVER () / sum(raw * n) OVER () AS weight FROM r), k AS (SELECT doc_id, CAST(round(weight * 1000000) AS BIGINT) AS w FROM documents JOIN w USING (lang)),
+l AS (SELECT doc_id, sum(w) OVER (ORDER BY doc_id) - w AS lo, sum(w) OVER (ORDER BY doc_id) AS hi FROM k),
+d AS (SELECT i AS draw, ('0x' || substr(md5('19|' || i), 1, 15))::BIGINT % (SELECT max(hi) FROM l)::BIGINT AS place FROM range(500) t(i))
+SELECT draw, doc_id FROM d JOIN l ON place >= lo AND place < hi""")
 def q59b_weighted_sample(spark: SparkSession, sf: str) -> DataFrame:
     d = table(spark, sf, "documents").select("doc_id", "lang")
     weights = augment.inverse_weights(d, "lang").select("lang", "weight")

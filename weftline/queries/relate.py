@@ -9,7 +9,7 @@ from weftline.operators import cluster, community, similarity
 from weftline.operators.stats import heaviest_groups
 from weftline.queries.base import SQL_ARRAYS, arrays
 from weftline.queries.registry import query
-from weftline.runtime import table
+from weftline.runtime import materialize, table
 
 SQL_SETS = "st AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS element FROM lineitem)"
 SQL_PAIRS = f"""{SQL_SETS}, sz AS (SELECT id, count(*) AS n FROM st GROUP BY id),
@@ -118,17 +118,26 @@ def q28_coassociation(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def q29_communities(spark: SparkSession, sf: str) -> DataFrame:
-    return community.communities(similarity.nearest_neighbours(_sets(spark, sf), 3, 0.3))
+    """Five seeded runs over the nearest neighbours: seed, node, community."""
+    return community.community_runs(similarity.nearest_neighbours(_sets(spark, sf), 3, 0.3))
 
 
 @query()
 def q29b_consensus_communities(spark: SparkSession, sf: str) -> DataFrame:
-    return community.consensus_communities(_sets(spark, sf), 3, 0.4, (0.8, 1.0, 1.2))
+    return community.consensus_communities(_sets(spark, sf), 3, 0.4)
 
 
 @query()
 def q29c_config_sweep(spark: SparkSession, sf: str) -> DataFrame:
-    return community.sweep(_sets(spark, sf), [{"k": k, "least": s, "resolution": r} for k, s, r in ((3, 0.4, 1.0), (5, 0.5, 1.0), (3, 0.4, 1.5))])
+    """All eight configurations, large communities split: sizes of what each finds."""
+    sizes = community.sweep(_sets(spark, sf)).groupBy("config", "community").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("config").agg(F.count(F.lit(1)).alias("n_communities"), F.sum("n").alias("n_nodes"), F.max("n").alias("largest"))
+
+
+@query()
+def q29d_recluster_large(spark: SparkSession, sf: str) -> DataFrame:
+    edges = materialize(similarity.nearest_neighbours(_sets(spark, sf), 3, 0.1), "neighbours")
+    return community.recluster_large(edges, community.communities(edges, 0.5), 40, 0.5)
 
 
 @query("""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weftline.operators import augment, cluster, split
+from weftline.operators import augment, augmenter, cluster, split
 from weftline.queries.base import SQL_ARRAYS, arrays, joined
 from weftline.queries.registry import query
 from weftline.runtime import table
@@ -144,6 +144,28 @@ def q57b_bulk_subsets(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "source_id", F.array_join("spacers", ",").alias("spacers"), F.array_join("repeats", ",").alias("repeats"))
 
 
+@query()
+def q57c_retry_subsets(spark: SparkSession, sf: str) -> DataFrame:
+    ex = _examples(spark, sf)
+    out = augmenter.retry_subsets(ex.where("id % 10 <> 0"), ex.where("id % 10 = 0"), 13, 0.9, 3, 0.3)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("spacers", "repeats")})
+
+
+@query()
+def q57d_bulk_counters(spark: SparkSession, sf: str) -> DataFrame:
+    """What became of every subset tried, for each training array: two of each, far apart, past the guard."""
+    ex = _examples(spark, sf)
+    return augmenter.bulk(ex.where("id % 10 <> 0"), ex, ex.where("id % 10 = 0"), per_array=2, seed=13, least_distance=0.3).counters
+
+
+@query()
+def q57e_augmented_set(spark: SparkSession, sf: str) -> DataFrame:
+    """A training set with random subsets, then the reverse complements of all of it."""
+    ex = _examples(spark, sf)
+    out = augmenter.augmented(ex.where("id % 10 <> 0"), ex.where("id % 10 = 0"), "after", 0.3, mode="random", per_array=1, prob=0.5, seed=13)
+    return out.withColumns({c: F.array_join(c, ",") for c in ("spacers", "repeats")})
+
+
 @query("SELECT lang, count(*) AS n, greatest(0, 400 - count(*)) AS need FROM documents GROUP BY 1")
 def q58_balance_need(spark: SparkSession, sf: str) -> DataFrame:
     return augment.need(table(spark, sf, "documents"), "lang", 400)

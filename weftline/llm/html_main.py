@@ -192,6 +192,8 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     html_text = F.col(html_col).cast("string")
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), host.alias("host"), path.alias("path"), F.xxhash64(html_text).alias("mark"), html_text.alias("html"))
     order = ["host", "path", "id", "mark"]
+    # Ids travel through Python as text: beside a null, pandas would round large ones.
+    asked = ["host", "path", F.col("id").cast("string"), "mark"]
 
     def key(h: str, p: str, i: int | None, m: int) -> tuple:
         return h, p, i is not None, i or 0, m
@@ -202,13 +204,13 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
     sample = rows.select(*order).where(F.pmod(F.xxhash64(*order), F.lit(every)) == 0).limit(4 * RANGE_KEYS * n_ranges)
     keys = sorted(key(*r) for r in sample.collect())
     begins = [keys[len(keys) * k // n_ranges] for k in range(1, n_ranges)] if keys else []
-    narrow = rows.select(*order, _range_of(begins)(*order).alias("r"))
+    narrow = rows.select(*order, _range_of(begins)(*asked).alias("r"))
     ends = narrow.groupBy("r").agg(F.min(F.struct(*order)).alias("lo"), F.max(F.struct(*order)).alias("hi")).orderBy("r").collect()  # a row a range
     also: dict[tuple, list[int]] = {}
     for one, two in zip(ends, ends[1:], strict=False):
         also.setdefault(key(*one["hi"]), []).append(two["r"])
         also.setdefault(key(*two["lo"]), []).append(one["r"])
-    dealt = rows.select("*", F.posexplode(_range_of(begins, also)(*order)).alias("copy", "r"))
+    dealt = rows.select("*", F.posexplode(_range_of(begins, also)(*asked)).alias("copy", "r"))
     dealt = dealt.repartition(max(1, n_ranges // 2), "r").sortWithinPartitions("r", *order, "copy")
 
     def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -225,20 +227,20 @@ def extract_main_text(pages: DataFrame, id_col: str = "page_id", url_col: str =
                 after = (x.copy > 0, x.r, x.host, x.id, x.url, lines(x.html))
                 done(after)
                 before, row = row, after
-            yield pd.DataFrame(out, columns=["id", "url", "text"]).astype({"id": "Int64"})
+            yield pd.DataFrame(out, columns=["id", "url", "text"])
             out.clear()
         done(None)
-        yield pd.DataFrame(out, columns=["id", "url", "text"]).astype({"id": "Int64"})
+        yield pd.DataFrame(out, columns=["id", "url", "text"])
 
-    texts = dealt.select("copy", "r", "host", F.col("id"), "url", "html").mapInPandas(extract, "id long, url string, text string")
-    return texts.select(F.col("id").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
+    texts = dealt.select("copy", "r", "host", F.col("id").cast("string").alias("id"), "url", "html").mapInPandas(extract, "id string, url string, text string")
+    return texts.select(F.col("id").cast("long").cast(pages.schema[id_col].dataType).alias(id_col), F.col("url").alias(url_col), "text", F.length("text").cast("long").alias("n_chars"))
 
 
 def _range_of(begins: list[tuple], also: dict[tuple, list[int]] | None = None):
     """A function of host, path, id and mark: the number of the row's range, or an array of that and the ranges it goes along to."""
 
     def numbers(host: pd.Series, path: pd.Series, id: pd.Series, mark: pd.Series) -> list[tuple[tuple, int]]:
-        keys = [(h, p, not pd.isna(i), 0 if pd.isna(i) else int(i), int(m)) for h, p, i, m in zip(host, path, id.astype("Int64"), mark, strict=True)]
+        keys = [(h, p, i is not None, int(i or 0), int(m)) for h, p, i, m in zip(host, path, id, mark, strict=True)]
         return [(k, bisect_right(begins, k)) for k in keys]
 
     if also is None:

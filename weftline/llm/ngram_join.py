@@ -236,11 +236,12 @@ def summarize(texts: DataFrame, plan: Plan, n_words: int, seed: int, frequent: n
                 rows.append((n, node, check, not all(x[2] for x in found), sketch(tokens, BRIEF), full, _signed(keys), _signed(dear)))
             out = pd.DataFrame(rows, columns=["n", "node", "check", "short", "brief", "sketch", "keys", "dear"])
             out.insert(0, "at", batch["at"].to_numpy())
-            out.insert(0, "id", batch["id"].astype("Int64"))
+            out.insert(0, "id", batch["id"].to_numpy())
             yield out
 
-    kinds = "id long, at long, n long, node long, check long, short boolean, brief array<long>, sketch array<long>, keys array<long>, dear array<long>"
-    return texts.select("id", F.xxhash64("text").alias("at"), "text").mapInPandas(run, kinds)
+    # Ids travel through Python as text: beside a null, pandas would round large ones.
+    kinds = "id string, at long, n long, node long, check long, short boolean, brief array<long>, sketch array<long>, keys array<long>, dear array<long>"
+    return texts.select(F.col("id").cast("string").alias("id"), F.xxhash64("text").alias("at"), "text").mapInPandas(run, kinds).withColumn("id", F.col("id").cast("long"))
 
 
 def _differing(a: str, b: str) -> Column:
@@ -370,8 +371,11 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows link when 100 * intersection >= percent * union of their sets of distinct n-word shingles. Rows without words, or with
     a null text, have an empty set and link with nothing. Rows with the same id are each compared by their own text; a null id
-    joins a component like any other and is never its smallest unless it has no other. Other columns are ignored.
+    joins a component like any other and is never its smallest unless it has no other. Other columns are ignored. percent is 75 to 100:
+    below, two linked sets may share no segment of the smallest band, so it is an error.
     """
+    if not 75 <= percent <= 100:
+        raise ValueError(f"percent is 75 to 100, not {percent}")
     on_workers(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
     n_docs = texts.count()

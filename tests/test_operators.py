@@ -168,10 +168,10 @@ def test_weighted_sample_draws_exactly_n(spark):
 
 
 def test_running_totals(spark):
-    from weftline.operators import augment
+    from weftline.operators import stats
 
     rows = [((k * 7919) % 1000, k % 5) for k in range(1000)]
-    out = augment.running_totals(spark.createDataFrame(rows, "id long, v long").repartition(5), ["id"], "v").collect()
+    out = stats.running_totals(spark.createDataFrame(rows, "id long, v long").repartition(5), ["id"], "v").collect()
     total, want = 0, {}
     for i, v in sorted(rows):
         total += v

@@ -1,16 +1,23 @@
 """Clustering of arrays by shared elements.
 
-First fit, rescue and seed split depend on order, so each key group is folded in one task; everything else is joins and windows.
+First fit, rescue and seed split depend on order, but only among arrays that share elements, directly or through others. So a key group
+is cut into connected components first, and each of these is folded in one task; everything else is joins and windows.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from heapq import heapify, heappop, heappush
+from itertools import islice
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from weftline.operators.graph import components
 from weftline.operators.similarity import edit_distance_pairs, similar_pairs
+from weftline.operators.stats import running_totals
+from weftline.runtime import materialize
 
 
 def consensus_key(repeat: Column, cas_type: Column | None = None) -> Column:
@@ -48,19 +55,23 @@ def rescue_groups(clusters: list[list], sets: dict, least: float, most: int | No
     for _ in range(rounds):
         moved = False
         unions = [set().union(*(sets[x] for x in c)) if c else set() for c in clusters]
+        holders: dict = {}  # element -> clusters whose union has it
+        for k, union in enumerate(unions):
+            for e in union:
+                holders.setdefault(e, set()).add(k)
         for k, c in enumerate(clusters):
             if len(c) != 1 or not sets[c[0]]:
                 continue
-            own, best, target = set(sets[c[0]]), 0.0, None
-            for j, other in enumerate(clusters):
-                if j == k or not other or (len(other) == 1 and not singles) or (most and len(other) >= most):
-                    continue
-                part = len(own & unions[j]) / len(own)
-                if part >= least and part > best:
-                    best, target = part, j
-            if target is not None:
+            own = set(sets[c[0]])
+            shared = Counter(j for e in own for j in holders[e] if j != k)
+            fit = [(-n, j) for j, n in shared.items() if n / len(own) >= least and not (len(clusters[j]) == 1 and not singles) and not (most and len(clusters[j]) >= most)]
+            if fit:
+                target = min(fit)[1]
                 clusters[target].append(c[0])
                 unions[target] |= own
+                for e in own:
+                    holders[e].discard(k)
+                    holders[e].add(target)
                 clusters[k], unions[k], moved = [], set(), True
         clusters = [c for c in clusters if c]
         if not moved:
@@ -68,15 +79,33 @@ def rescue_groups(clusters: list[list], sets: dict, least: float, most: int | No
     return clusters
 
 
-def _numbered(clusters: list[list], key: object, name: str, dtype) -> pd.DataFrame:
-    rows = [(key, k, p, x) for k, c in enumerate(clusters) for p, x in enumerate(c)]
-    return pd.DataFrame(rows, columns=[name, "cluster", "pos", "id"]).astype({name: dtype})
+def shared_components(arrays: DataFrame, group: str) -> DataFrame:
+    """arrays (group, id, elements) with `part`: the connected component by shared elements within the group. Arrays without elements are alone."""
+    keyed = arrays.select(group, "id", "elements", F.xxhash64(group, "id").alias("node"))
+    held = keyed.select(group, "node", F.explode("elements").alias("e"))
+    # Each array is linked to the element's smallest one: a star, not all pairs. Two arrays under one 64-bit node would only share a task.
+    hubs = held.groupBy(group, "e").agg(F.min("node").alias("hub"))
+    edges = held.join(hubs, held[group].eqNullSafe(hubs[group]) & held["e"].eqNullSafe(hubs["e"])).select(F.col("hub").alias("src"), F.col("node").alias("dst")).where("src <> dst")
+    found = components(edges)
+    return keyed.join(found, "node", "left").select(group, "id", "elements", F.coalesce("component", "node").alias("part"))
+
+
+def _in_clusters(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """group, cluster, pos, id: clusters, told apart by `order`, numbered from 0 in each group in that order, without a window over a group."""
+    heads = running_totals(rows.select(group, *order).distinct().withColumn("one", F.lit(1).cast("long")), [group, *order], "one")
+    first = heads.groupBy(F.col(group).alias("__g")).agg(F.min("upto").alias("__first"))
+    numbered = heads.join(first, heads[group].eqNullSafe(first["__g"])).select(F.col(group).alias("__g"), *(F.col(c).alias(f"__{c}") for c in order), (F.col("upto") - F.col("__first")).cast("int").alias("cluster"))
+    on = rows[group].eqNullSafe(numbered["__g"])
+    for c in order:
+        on = on & rows[c].eqNullSafe(numbered[f"__{c}"])
+    return rows.join(numbered, on).select(group, "cluster", "pos", "id")
 
 
 def first_fit(arrays: DataFrame, group: str, rescue: float | None = None, most: int | None = None) -> DataFrame:
     """group, cluster, pos, id: first fit by ascending id in each group, then rescue of single arrays if asked for.
 
-    arrays: group, id, elements. A group is one task by nature of the algorithm (each step needs the one before).
+    arrays: group, id, elements. Neither step looks beyond arrays that share elements, so each component is a task's group and the result
+    is that of the whole group; clusters are numbered by the array that opened them. One component is one task by nature of the fold.
     """
     kinds = dict(arrays.dtypes)
 
@@ -85,9 +114,13 @@ def first_fit(arrays: DataFrame, group: str, rescue: float | None = None, most:
         clusters = first_fit_groups(ordered)
         if rescue is not None:
             clusters = rescue_groups(clusters, dict(ordered), rescue, most)
-        return _numbered(clusters, rows[group].iloc[0], group, rows[group].dtype)
+        out = pd.DataFrame([(c[0], p, x) for c in clusters for p, x in enumerate(c)], columns=["opener", "pos", "id"])
+        out.insert(0, group, rows[group].iloc[0])
+        return out.astype({group: rows[group].dtype})
 
-    return arrays.select(group, "id", "elements").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, cluster int, pos int, id {kinds['id']}")
+    parts = shared_components(arrays.select(group, "id", "elements"), group)
+    found = parts.groupBy(group, "part").applyInPandas(fold, f"{group} {kinds[group]}, opener {kinds['id']}, pos int, id {kinds['id']}")
+    return _in_clusters(materialize(found, "folded"), group, ["opener"])
 
 
 def forced_partition(members: DataFrame, cluster: list[str], order: list[str], most: int) -> DataFrame:
@@ -119,37 +152,61 @@ def similarity_components(sets: DataFrame, least: float) -> DataFrame:
 
 
 def seed_split_groups(ids: list, sim: dict, most: int) -> list[list]:
-    """The array with most links left seeds a part, which the most similar arrays left fill, unlinked ones too."""
-    left, parts = sorted(ids), []
-    while left:
-        here = set(left)
-        seed = max(left, key=lambda x: (sum(1 for y in sim.get(x, ()) if y in here), -left.index(x)))
-        near = sorted((x for x in left if x != seed), key=lambda x: (-sim.get(seed, {}).get(x, 0.0), x))
-        part = [seed, *near[: most - 1]]
+    """The array with most links left (ties to the smallest) seeds a part, which the most similar arrays left fill, unlinked ones too; the last part is in order."""
+    left, parts = dict.fromkeys(sorted(ids)), []
+    degree = {x: len(sim.get(x, ())) for x in left}
+    heap = [(-degree[x], x) for x in left]
+    heapify(heap)
+    while len(left) > most:
+        while True:
+            d, seed = heappop(heap)
+            if seed in left and -d == degree[seed]:
+                break
+        linked = sorted((y for y in sim.get(seed, ()) if y in left), key=lambda y: (-sim[seed][y], y))[: most - 1]
+        part = [seed, *linked]
+        taken = set(part)
+        part += islice((x for x in left if x not in taken), most - len(part))
         parts.append(part)
-        left = [x for x in left if x not in set(part)]
+        for x in part:
+            del left[x]
+        for x in part:
+            for y in sim.get(x, ()):
+                if y in left:
+                    degree[y] -= 1
+                    heappush(heap, (-degree[y], y))
+    if left:
+        parts.append(list(left))
     return parts
 
 
 def seed_split(arrays: DataFrame, group: str, most: int, least: float = 0.0) -> DataFrame:
-    """group, cluster, pos, id: each group (one component each, of bounded size by intent) split into parts of at most `most`."""
+    """group, cluster, pos, id: each group is cut into components of Jaccard similarity `least` or more (any above 0), and those above `most` are split by seeds.
+
+    Clusters are numbered by the smallest id of their component, then in the order in which they were split off. Similar arrays are found by
+    one join for all groups; a component above `most` is one task. Ids are unique.
+    """
     kinds = dict(arrays.dtypes)
+    own = materialize(arrays.select(group, "id"), "ids")
+    sets = arrays.select("id", F.explode(F.array_distinct("elements")).alias("e"), F.col(group).alias("__g")).select("id", F.struct("__g", "e").alias("element"))
+    pairs = materialize(similar_pairs(sets, least).where("similarity > 0"), "pairs")
+    found = components(pairs, "a", "b")
+    named = own.join(found, own["id"] == found["node"], "left").select(group, "id", F.coalesce("component", "id").alias("component"))
+    large = materialize(named.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > most).select("component"), "large")
+    links = pairs.join(found, pairs["a"] == found["node"]).join(large, "component", "left_semi").select("component", "a", "b", "similarity")
 
     def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        sets = {k: set(e) for k, e in _in_order(rows)}
-        owners: dict = {}
-        for k, own in sets.items():
-            for e in own:
-                owners.setdefault(e, []).append(k)
-        sim: dict = {k: {} for k in sets}
-        for a in sets:
-            for b in {b for e in sets[a] for b in owners[e] if b != a}:
-                s = len(sets[a] & sets[b]) / len(sets[a] | sets[b])
-                if s > 0 and s >= least:
-                    sim[a][b] = s
-        return _numbered(seed_split_groups(list(sets), sim, most) if len(sets) > most else [list(sets)], rows[group].iloc[0], group, rows[group].dtype)
-
-    return arrays.select(group, "id", "elements").groupBy(group).applyInPandas(fold, f"{group} {kinds[group]}, cluster int, pos int, id {kinds['id']}")
+        sim: dict = {}
+        for a, b, s in zip(rows["a"].tolist(), rows["b"].tolist(), rows["similarity"].tolist(), strict=True):
+            sim.setdefault(a, {})[b] = s
+            sim.setdefault(b, {})[a] = s
+        return pd.DataFrame([(rows["component"].iloc[0], k, p, x) for k, c in enumerate(seed_split_groups(list(sim), sim, most)) for p, x in enumerate(c)], columns=["component", "split", "pos", "id"])
+
+    kind = kinds["id"]
+    split = links.groupBy("component").applyInPandas(fold, f"component {kind}, split int, pos int, id {kind}").join(own, "id")
+    # At most `most` ids a component here.
+    whole = named.join(large, "component", "left_anti").select(group, "component", F.lit(0).alias("split"), (F.row_number().over(Window.partitionBy("component").orderBy("id")) - 1).alias("pos"), "id")
+    rows = whole.unionByName(split.select(group, "component", "split", "pos", "id"))
+    return _in_clusters(materialize(rows, "split"), group, ["component", "split"])
 
 
 def coassociation(memberships: DataFrame, above: float = 0.5) -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.runtime import materialize
+
 
 def jaccard(a: Column, b: Column) -> Column:
     """0 for disjoint or empty sets."""
@@ -45,9 +47,52 @@ def measure(kind: str) -> Column:
     }[kind]()
 
 
+#: Rows of one element on one side that a task joins; elements with more are dealt over up to MOST_PARTS tasks.
+PART_ROWS, MOST_PARTS = 2_000, 256
+
+
+def ranked_sets(sets: DataFrame, key: str = "id", element: str = "element") -> DataFrame:
+    """key, n and elements: each set's elements, those that the fewest sets have first."""
+    counts = sets.groupBy(element).agg(F.count(F.lit(1)).alias("__n"))
+    order = F.sort_array(F.collect_list(F.struct("__n", F.col(element).alias("e"))))
+    return sets.join(counts, element).groupBy(key).agg(order.alias("o")).select(key, F.size("o").alias("n"), F.col("o.e").alias("elements"))
+
+
+def needed(na: Column, nb: Column, least: float) -> Column:
+    """Elements that sets of these sizes share at least, if their Jaccard similarity is `least`."""
+    return F.ceil((na + nb) * (least / (1 + least)) - 1e-9)
+
+
+def candidate_pairs(ranked: DataFrame, least: float, key: str = "id") -> DataFrame:
+    """a, b (a < b): pairs that sizes and rare elements do not rule out; no pair as similar as `least` is missing.
+
+    With all sets in one order of elements, two such sets share one of the first n - ceil(least n) + 1 of each (the prefix principle). An element
+    at place i of one and j of the other leaves room for 1 + min(rests) shared ones, if it is their first; where that is too few the
+    pair is not formed. Elements in many prefixes are dealt over tasks.
+    """
+    size = F.col("n") - F.ceil(F.col("n") * least - 1e-9).cast("int") + 1
+    index = ranked.select(F.col(key).alias("k"), "n", F.posexplode(F.slice("elements", F.lit(1), size)).alias("at", "e"))
+    parts = index.groupBy("e").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("e", F.least(F.lit(MOST_PARTS), F.ceil(F.col("c") / PART_ROWS)).cast("int").alias("parts"))
+    index = index.join(parts, "e")
+    left = index.select("e", F.pmod(F.xxhash64("k"), F.col("parts")).cast("int").alias("part"), F.col("k").alias("a"), F.col("n").alias("na"), F.col("at").alias("ia"))
+    right = index.select("e", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("k").alias("b"), F.col("n").alias("nb"), F.col("at").alias("ib"))
+    fit = (F.least("na", "nb") >= F.greatest("na", "nb") * least - 1e-9) & (1 + F.least(F.col("na") - F.col("ia") - 1, F.col("nb") - F.col("ib") - 1) >= needed(F.col("na"), F.col("nb"), least))
+    return left.join(right, ["e", "part"]).where((F.col("a") < F.col("b")) & fit).select("a", "b").distinct()
+
+
 def similar_pairs(sets: DataFrame, least: float, kind: str = "jaccard", key: str = "id", element: str = "element") -> DataFrame:
-    """a, b, similarity >= least (and above 0)."""
-    return sharing_pairs(sets, key=key, element=element).select("a", "b", measure(kind).alias("similarity")).where(F.col("similarity") >= least)
+    """a, b, similarity >= least (and above 0). sets: distinct (key, element) rows.
+
+    Jaccard pairs are found by an index of each set's rarest elements and then measured; the other kinds, which a large set and a small one may
+    reach, and a threshold of 0 count all shared elements.
+    """
+    if kind != "jaccard" or least <= 0:
+        return sharing_pairs(sets, key=key, element=element).select("a", "b", measure(kind).alias("similarity")).where(F.col("similarity") >= least)
+    ranked = materialize(ranked_sets(sets, key, element), "ranked")
+    of = lambda x, n, e: ranked.select(F.col(key).alias(x), F.col("n").alias(n), F.col("elements").alias(e))
+    met = candidate_pairs(ranked, least, key).join(of("a", "na", "ea"), "a").join(of("b", "nb", "eb"), "b")
+    shared = F.size(F.array_intersect("ea", "eb"))
+    return met.select("a", "b", "na", "nb", shared.alias("shared")).select("a", "b", measure(kind).alias("similarity")).where(F.col("similarity") >= least)
 
 
 def nearest_neighbours(sets: DataFrame, k: int, least: float, key: str = "id", element: str = "element") -> DataFrame:

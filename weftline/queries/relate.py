@@ -99,6 +99,12 @@ def q27_seed_split(spark: SparkSession, sf: str) -> DataFrame:
     return cluster.seed_split(_grouped(spark, sf), "parent", 4)
 
 
+@query()
+def q27b_split_by_components(spark: SparkSession, sf: str) -> DataFrame:
+    """Components of similar arrays within each customer, split by seeds above three."""
+    return cluster.seed_split(_grouped(spark, sf), "parent", 3, 0.2)
+
+
 RUNS_SQL = """m AS (SELECT 0 AS run, p_brand AS label, p_partkey AS id FROM part UNION ALL SELECT 1, p_type, p_partkey FROM part UNION ALL SELECT 2, (p_size % 10)::VARCHAR, p_partkey FROM part)"""
 
 

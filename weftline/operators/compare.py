@@ -56,10 +56,11 @@ def pair_stats(rows: DataFrame, a: str, b: str, by: list[str] | None = None, whe
 
 
 def confidence(rows: DataFrame, a: str, b: str) -> DataFrame:
-    """Share of rows with a call, for each tool, both and either."""
+    """Number and share of rows with a call, for each tool, both and either; shares are null without rows."""
     A, B = F.col(a) != labels.UNKNOWN, F.col(b) != labels.UNKNOWN
     n = F.count(F.lit(1))
-    return rows.agg(n.alias("total"), *[pct(F.count_if(c), n).alias(k) for k, c in (("a_pct", A), ("b_pct", B), ("both_pct", A & B), ("either_pct", A | B))])
+    calls = {"a": A, "b": B, "both": A & B, "either": A | B}
+    return rows.agg(n.alias("total"), *[F.count_if(c).alias(f"n_{k}") for k, c in calls.items()], *[pct(F.count_if(c), n).alias(f"{k}_pct") for k, c in calls.items()])
 
 
 def group_confidence(rows: DataFrame, group: str, call: str, order: list[str]) -> DataFrame:

@@ -155,7 +155,7 @@ def histogram(rows: DataFrame, value: str, by: list[str] | None = None) -> DataF
 
 
 def binned(rows: DataFrame, value: str, least: int = 5, most: int = 30) -> DataFrame:
-    """bin (from 0), low, high, n over min(most, max(least, distinct values)) bins of equal width; the highest value is in the last bin."""
+    """bin (from 0), low and n over min(most, max(least, distinct values)) bins of equal width; the highest value is in the last bin."""
     ends = rows.agg(F.min(value).cast("double").alias("lo"), F.max(value).cast("double").alias("hi"), F.least(F.lit(most), F.greatest(F.lit(least), F.count_distinct(value))).alias("bins"))
     width = (F.col("hi") - F.col("lo")) / F.col("bins")
     b = F.when(F.col("hi") == F.col("lo"), 0).otherwise(F.least(F.floor((F.col(value) - F.col("lo")) / width), F.col("bins") - 1)).cast("long")

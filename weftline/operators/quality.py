@@ -20,6 +20,19 @@ def collapse_summary(rows: DataFrame, signature: list[str], order: str, stratum:
     return out.select(stratum, "before", "after", (F.col("before") - F.col("after")).alias("removed")).join(F.broadcast(across))  # one row
 
 
+def cross_strata(rows: DataFrame, signature: list[str], order: str, stratum: str) -> DataFrame:
+    """signature, first (its smallest `order`), stays (that row's stratum), removed and counts (a map of stratum to rows) of duplicates in several strata.
+
+    Rows are counted by signature and stratum before a signature's strata meet, so the map is as long as there are strata. Null and empty strata are Unknown.
+    """
+    named = rows.select(*signature, order, F.coalesce(F.nullif(F.col(stratum).cast("string"), F.lit("")), F.lit("Unknown")).alias("__s"))
+    counts = named.groupBy(*signature, "__s").agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("__o"))
+    entries = F.map_from_entries(F.array_sort(F.collect_list(F.struct("__s", "n"))))
+    first = F.min(F.struct("__o", "__s"))
+    groups = counts.groupBy(*signature).agg(F.count(F.lit(1)).alias("__k"), first.alias("__f"), (F.sum("n") - 1).alias("removed"), entries.alias("counts")).where("__k > 1")
+    return groups.select(*signature, F.col("__f.__o").alias("first"), F.col("__f.__s").alias("stays"), "removed", "counts")
+
+
 def ranking_metrics(rows: DataFrame, y: str, score: str, by: list[str] | None = None) -> DataFrame:
     """n, positives, auc and average_precision, null with one class; ties share ranks.
 

@@ -8,6 +8,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.functions import labels
+from weftline.operators.cluster import group_or_signature_components
+
 
 def hashed(key: Column, seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
@@ -18,11 +21,12 @@ def half_even(n: Column, share: float) -> Column:
 
 
 def cut_rule(name: str, n: Column, share: float) -> Column:
-    """How many of n go: `floor1` at least one; `keep1` none of one, at least one and all but one at most; `plain` rounded."""
+    """How many of n go: `floor1` at least one; `keep1` none of one, at least one and all but one at most; `most1` the same but the one that is alone; `plain` rounded."""
     r = half_even(n, share)
     return {
         "plain": lambda: r,
         "floor1": lambda: F.greatest(F.lit(1), r),
+        "most1": lambda: F.when(n <= 1, n).otherwise(F.least(n - 1, F.greatest(F.lit(1), r))),
         "keep1": lambda: F.when(n <= 1, F.lit(0)).otherwise(F.least(n - 1, F.greatest(F.lit(1), r))),
     }[name]()
 
@@ -86,6 +90,19 @@ def dev_pool(rows: DataFrame, unit: str, stratum: str, mode: str, seed: int, sha
     return cut(units(rows, unit, stratum), unit, [("train", "keep1" if mode == "stratum" else "floor1", share)], "val", seed)
 
 
+def dev_of_components(rows: DataFrame, key: str, group: str, signature: list[str], stratum: str, seed: int, share: float = 0.8) -> DataFrame:
+    """key, component, stratum, split (train_test or val): rows linked by a group or a signature, directly or through others, stay together.
+
+    Components are cut by hash within the stratum that most of their rows have (the smallest on ties; null and empty count as Unknown): `share` of
+    them, at least one and all but one at most, to train_test; one that is alone goes there too. Blank groups link nothing.
+    """
+    named = rows.withColumns({"__s": labels.subtype_key(F.col(stratum)), "__g": F.nullif(F.trim(F.col(group)), F.lit(""))})
+    found = group_or_signature_components(named, key, "__g", signature)
+    of = named.select(F.col(key).alias("__k"), "__s").join(found, F.col("__k") == F.col(key)).select(key, "component", "__s")
+    done = cut(units(of, "component", "__s"), "component", [("train_test", "most1", share)], "val", seed)
+    return of.select(key, "component").join(done, "component")
+
+
 def folds(rows: DataFrame, unit: str, stratum: str, k: int, seed: int) -> DataFrame:
     """unit, stratum, fold: round robin over the hash order in each stratum."""
     u = units(rows, unit, stratum)

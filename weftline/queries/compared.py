@@ -77,7 +77,8 @@ def q31b_pair_stats_no_singletons(spark: SparkSession, sf: str) -> DataFrame:
     return compare.pair_stats(_detail(spark, sf), "call_a", "call_b", where=compare.not_singleton("group_name"))
 
 
-@query(f"""WITH {CALLS} SELECT count(*) AS total, {_pct("count(*) FILTER (WHERE call_a <> 'Unknown')", 'count(*)')} AS a_pct, {_pct("count(*) FILTER (WHERE call_b <> 'Unknown')", 'count(*)')} AS b_pct,
+@query(f"""WITH {CALLS} SELECT count(*) AS total, count(*) FILTER (WHERE call_a <> 'Unknown') AS n_a, count(*) FILTER (WHERE call_b <> 'Unknown') AS n_b,
+count(*) FILTER (WHERE call_a <> 'Unknown' AND call_b <> 'Unknown') AS n_both, count(*) FILTER (WHERE call_a <> 'Unknown' OR call_b <> 'Unknown') AS n_either, {_pct("count(*) FILTER (WHERE call_a <> 'Unknown')", 'count(*)')} AS a_pct, {_pct("count(*) FILTER (WHERE call_b <> 'Unknown')", 'count(*)')} AS b_pct,
 {_pct("count(*) FILTER (WHERE call_a <> 'Unknown' AND call_b <> 'Unknown')", 'count(*)')} AS both_pct, {_pct("count(*) FILTER (WHERE call_a <> 'Unknown' OR call_b <> 'Unknown')", 'count(*)')} AS either_pct FROM dt""")
 def q32_confidence(spark: SparkSession, sf: str) -> DataFrame:
     return compare.confidence(_detail(spark, sf), "call_a", "call_b")
@@ -218,6 +219,20 @@ def q45_collapse_summary(spark: SparkSession, sf: str) -> DataFrame:
     return collapse_summary(table(spark, sf, "documents"), ["text"], "doc_id", "lang")
 
 
+@query("""
+WITH c AS (SELECT p_size AS size, p_type AS container, coalesce(nullif(p_brand, ''), 'Unknown') AS brand, count(*) AS n, min((p_partkey, coalesce(nullif(p_brand, ''), 'Unknown'))) AS first FROM part GROUP BY 1, 2, 3),
+g AS (SELECT size, container, min(first) AS f, sum(n) - 1 AS removed FROM c GROUP BY 1, 2 HAVING count(*) > 1)
+SELECT size, container, f[1] AS first, f[2] AS stays, CAST(removed AS BIGINT) AS removed, brand, n FROM g JOIN c USING (size, container)
+""")
+def q45b_cross_strata(spark: SparkSession, sf: str) -> DataFrame:
+    """Duplicates found in several strata: how many go, which one stays, how many of each; a row for each entry of the map."""
+    from weftline.operators.quality import cross_strata
+
+    parts = table(spark, sf, "part").select(F.col("p_size").alias("size"), F.col("p_type").alias("container"), "p_partkey", "p_brand")
+    out = cross_strata(parts, ["size", "container"], "p_partkey", "p_brand")
+    return out.select("size", "container", "first", "stays", "removed", F.explode("counts").alias("brand", "n"))
+
+
 @query("SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, min((l_orderkey, l_linenumber)) LIMIT 20")
 def q46b_top_counts(spark: SparkSession, sf: str) -> DataFrame:
     from weftline.operators.stats import top_counts

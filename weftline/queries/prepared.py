@@ -56,6 +56,22 @@ def q49b_train_test_by_stratum(spark: SparkSession, sf: str) -> DataFrame:
     return split.train_test_by_stratum(_docs(spark, sf), "signature", "source", 4)
 
 
+@query("""
+WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN 'g' || (doc_id // 7) ELSE ' ' END AS g, md5(text) AS signature, coalesce(nullif(trim(lang), ''), 'Unknown') AS lang FROM documents),
+e AS (SELECT doc_id AS a, min(doc_id) OVER (PARTITION BY g) AS b FROM d WHERE trim(g) <> '' UNION ALL SELECT doc_id, min(doc_id) OVER (PARTITION BY signature) FROM d WHERE signature IS NOT NULL),
+x AS (SELECT a, b FROM e UNION SELECT b, a FROM e), c AS (SELECT doc_id AS n, doc_id AS r FROM d UNION SELECT x.b, c.r FROM c JOIN x ON x.a = c.n),
+k AS (SELECT n AS doc_id, min(r) AS component FROM c GROUP BY n), m AS (SELECT component, lang, count(*) AS n FROM k JOIN d USING (doc_id) GROUP BY 1, 2),
+u AS (SELECT component, arg_min(lang, (-n, lang)) AS stratum FROM m GROUP BY 1),
+o AS (SELECT *, count(*) OVER (PARTITION BY stratum) AS n, row_number() OVER (PARTITION BY stratum ORDER BY md5('31|' || component), component) AS r FROM u)
+SELECT doc_id, component, stratum, CASE WHEN n <= 1 OR r <= least(n - 1, greatest(1, round_even(n * 0.8, 0))) THEN 'train_test' ELSE 'val' END AS split FROM k JOIN o USING (component)
+""")
+def q49c_dev_of_components(spark: SparkSession, sf: str) -> DataFrame:
+    d = table(spark, sf, "documents")
+    g = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("g"), F.expr("doc_id div 7").cast("string"))).otherwise(" ")
+    rows = d.select("doc_id", g.alias("g"), F.md5("text").alias("signature"), "lang")
+    return split.dev_of_components(rows, "doc_id", "g", ["signature"], "lang", 31)
+
+
 @query(_cut_sql("signature", "label", [("test", "floor1", 0.2)], "train", 5))
 def q50_split_by_label(spark: SparkSession, sf: str) -> DataFrame:
     return split.train_test_by_label(_docs(spark, sf), "signature", "label", 5)

@@ -25,7 +25,7 @@ def q81_usable_rows(spark: SparkSession, sf: str) -> DataFrame:
     source = F.when(key % 5 == 0, "own").when(key % 5 == 1, "")
     rows = table(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("name"), agreement.alias("agreement"), direction.alias("direction"), source.alias("source"))
     lookup = table(spark, sf, "customer").where("c_custkey % 2 = 0").select(F.col("c_custkey").alias("name"), F.col("c_mktsegment").alias("source"))
-    return selecting.usable(rows, lookup, "name", "source", "agreement", "direction", allow_not_comparable=True).select("o_orderkey", "direction", "source")
+    return selecting.usable(rows, lookup, "name", "source", ["source"], "agreement", "direction", allow_not_comparable=True).select("o_orderkey", "direction", "source")
 
 
 @query("""
@@ -56,3 +56,35 @@ SELECT event_type, count(*) AS n, round_even(avg(-(y * ln(q) + (1 - y) * ln(1 -
 def q84_log_loss(spark: SparkSession, sf: str) -> DataFrame:
     rows = table(spark, sf, "events").select("event_type", (F.col("value") > 50).cast("int").alias("y"), ((F.col("event_id") % 101).cast("double") / 100).alias("s"))
     return quality.log_loss(rows, "y", "s", ["event_type"]).select("event_type", "n", seq.round_half_even(F.col("loss"), 6).alias("loss"))
+
+
+@query("""
+WITH f AS (SELECT o_custkey, arg_min(o_clerk, o_orderkey) AS clerk FROM (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 4 <> 0 THEN o_orderpriority || o_orderkey END AS o_clerk FROM orders) x WHERE o_clerk IS NOT NULL GROUP BY 1)
+SELECT c_custkey, coalesce(CASE WHEN c_custkey % 3 = 0 THEN c_name END, clerk) AS source FROM customer LEFT JOIN f ON o_custkey = c_custkey
+""")
+def q81b_backfill_first(spark: SparkSession, sf: str) -> DataFrame:
+    """Values filled from the first row of many that a key has."""
+    key = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select("c_custkey", key.alias("name"), F.when(key % 3 == 0, F.col("c_name")).otherwise("").alias("source"))
+    order = F.col("o_orderkey")
+    lookup = table(spark, sf, "orders").select(F.col("o_custkey").alias("name"), order, F.when(order % 4 != 0, F.concat("o_orderpriority", order.cast("string"))).alias("source"))
+    return selecting.backfill(rows, lookup, "name", "source", ["o_orderkey"]).select("c_custkey", "source")
+
+
+LEVELS = "lv AS (SELECT o_orderkey, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS level, o_orderstatus AS status, CASE WHEN o_custkey % 5 > 0 THEN 'k' || (o_custkey % 5) END AS kind FROM orders)"
+
+
+def _levels(spark: SparkSession, sf: str) -> DataFrame:
+    kind = F.when(F.col("o_custkey") % 5 > 0, F.concat(F.lit("k"), (F.col("o_custkey") % 5).cast("string")))
+    return table(spark, sf, "orders").select("o_orderkey", F.substring("o_orderpriority", 1, 1).cast("int").alias("level"), F.col("o_orderstatus").alias("status"), kind.alias("kind"))
+
+
+@query(f"WITH {LEVELS} SELECT * FROM lv WHERE level < 4")
+def q85_low_level_rows(spark: SparkSession, sf: str) -> DataFrame:
+    return selecting.below_level(_levels(spark, sf), "level", 4, ["status", "kind"])[0]
+
+
+@query(f"""WITH {LEVELS}, l AS (SELECT * FROM lv WHERE level < 4) SELECT 'level' AS dimension, level::VARCHAR AS value, count(*) AS n FROM l GROUP BY 2
+UNION ALL SELECT 'status', coalesce(status, 'Unknown'), count(*) FROM l GROUP BY 2 UNION ALL SELECT 'kind', coalesce(kind, 'Unknown'), count(*) FROM l GROUP BY 2""")
+def q85b_low_level_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return selecting.below_level(_levels(spark, sf), "level", 4, ["status", "kind"])[1]

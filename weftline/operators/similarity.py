@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.stats import running_totals
 from weftline.runtime import materialize
 
 
@@ -160,3 +161,40 @@ def mean_similarity(sets: DataFrame, groups: DataFrame, group: str, key: str = "
     a, b = sizes.select(F.col("__g").alias("group_a"), F.col("n").alias("na")), sizes.select(F.col("__g").alias("group_b"), F.col("n").alias("nb"))
     cells = a.join(b, F.col("group_a") <= F.col("group_b")).withColumn("n_pairs", F.when(F.col("group_a") == F.col("group_b"), F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb")))
     return cells.join(sums, ["group_a", "group_b"], "left").select("group_a", "group_b", "n_pairs", F.try_divide(F.coalesce("s", F.lit(0.0)), F.col("n_pairs")).alias("mean_similarity"))
+
+
+def sampled_pairs(groups: DataFrame, group: str, most: int, seed: int, key: str = "id") -> DataFrame:
+    """group_a, group_b, n_pairs, a, b: of the pairs of every two groups and within each, all or `most` distinct ones, spread evenly.
+
+    Pairs have ranks: i * nb + j for member i of one group and j of the other, j (j - 1) / 2 + i for i < j in one group, members in order of key.
+    Rank k of the sample is a number by hash within the k-th of `most` equal stretches of all ranks, and is turned back into (i, j),
+    so neither all pairs nor pairs with something in common are formed. Groups are few; keys without a group are left out.
+    """
+    members = groups.where(F.col(group).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k")).distinct().withColumn("one", F.lit(1).cast("long"))
+    placed = running_totals(members, ["g", "k"], "one")
+    sizes = materialize(placed.groupBy("g").agg(F.count(F.lit(1)).alias("n"), (F.min("upto") - 1).alias("before")), "sizes")  # a row a group
+    at = materialize(placed.join(sizes, "g").select("g", (F.col("upto") - 1 - F.col("before")).alias("at"), "k"), "members")
+    x, y = sizes.select(F.col("g").alias("group_a"), F.col("n").alias("na")), sizes.select(F.col("g").alias("group_b"), F.col("n").alias("nb"))
+    same = F.col("group_a") == F.col("group_b")
+    cells = x.join(y, F.col("group_a") <= F.col("group_b")).withColumn("n_pairs", F.when(same, F.expr("na * (na - 1) div 2")).otherwise(F.col("na") * F.col("nb"))).where("n_pairs > 0")
+    drawn = F.least(F.lit(most).cast("long"), F.col("n_pairs")) if most > 0 else F.col("n_pairs")
+    cells = cells.withColumn("c", drawn).withColumn("s", F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1)))
+    low, high = "CAST(CAST(s AS DECIMAL(38,0)) * n_pairs div c AS LONG)", "CAST(CAST(s + 1 AS DECIMAL(38,0)) * n_pairs div c AS LONG)"
+    h = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("group_a").cast("string"), F.col("group_b").cast("string"), F.col("s").cast("string"))), 1, 15), 16, 10).cast("long")
+    cells = cells.withColumn("r", F.expr(low) + F.pmod(h, F.expr(f"{high} - {low}")))
+    # The root may be off by one for very large ranks.
+    guess = F.floor((1 + F.sqrt(8 * F.col("r").cast("double") + 1)) / 2).cast("long")
+    cells = cells.withColumn("j", guess).withColumn("j", F.expr("CASE WHEN j * (j - 1) div 2 > r THEN j - 1 WHEN j * (j + 1) div 2 <= r THEN j + 1 ELSE j END"))
+    cells = cells.select("group_a", "group_b", "n_pairs", F.when(same, F.expr("r - j * (j - 1) div 2")).otherwise(F.expr("r div nb")).alias("i"), F.when(same, F.col("j")).otherwise(F.expr("r % nb")).alias("j"))
+    a = at.select(F.col("g").alias("group_a"), F.col("at").alias("i"), F.col("k").alias("a"))
+    b = at.select(F.col("g").alias("group_b"), F.col("at").alias("j"), F.col("k").alias("b"))
+    return cells.join(a, ["group_a", "i"]).join(b, ["group_b", "j"]).select("group_a", "group_b", "n_pairs", "a", "b")
+
+
+def sampled_similarity(sets: DataFrame, groups: DataFrame, group: str, most: int, seed: int, key: str = "id", element: str = "element") -> DataFrame:
+    """group_a, group_b, n_pairs, sampled, mean_similarity (Jaccard) over `sampled_pairs`; keys without a set have an empty one."""
+    own = sets.groupBy(F.col(key).alias("k")).agg(F.collect_list(element).alias("e"))
+    pairs = sampled_pairs(groups, group, most, seed, key)
+    met = pairs.join(own.select(F.col("k").alias("a"), F.col("e").alias("ea")), "a", "left").join(own.select(F.col("k").alias("b"), F.col("e").alias("eb")), "b", "left")
+    none = F.array().cast(own.schema["e"].dataType)
+    return met.groupBy("group_a", "group_b", "n_pairs").agg(F.count(F.lit(1)).alias("sampled"), F.avg(jaccard(F.coalesce("ea", none), F.coalesce("eb", none))).alias("mean_similarity"))

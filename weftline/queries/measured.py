@@ -172,6 +172,25 @@ def q71_similarity_per_stratum(spark: SparkSession, sf: str) -> DataFrame:
     return _matrix(spark, sf, F.concat_ws("|", "o_orderpriority", (F.col("o_orderkey") % 2).cast("string")))
 
 
+@query("""
+WITH st AS (SELECT DISTINCT l_orderkey AS id, l_partkey AS e FROM lineitem), m AS (SELECT o_orderpriority AS g, o_orderkey AS id, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) - 1 AS at FROM orders),
+n AS (SELECT g, count(*) AS n FROM m GROUP BY 1), c AS (SELECT x.g AS group_a, y.g AS group_b, y.n AS nb, CASE WHEN x.g = y.g THEN x.n * (x.n - 1) // 2 ELSE x.n * y.n END AS p FROM n x JOIN n y ON x.g <= y.g),
+d AS (SELECT *, unnest(range(least(2000, p))) AS s, least(2000, p) AS c FROM c WHERE p > 0),
+r AS (SELECT *, s * p // c + ('0x' || substr(md5('37|' || group_a || '|' || group_b || '|' || s), 1, 15))::BIGINT % ((s + 1) * p // c - s * p // c) AS r FROM d),
+u AS (SELECT *, floor((1 + sqrt(8 * r::DOUBLE + 1)) / 2)::BIGINT AS tj FROM r),
+v AS (SELECT group_a, group_b, p, CASE WHEN group_a = group_b THEN r - tj * (tj - 1) // 2 ELSE r // nb END AS i, CASE WHEN group_a = group_b THEN tj ELSE r % nb END AS j FROM u),
+w AS (SELECT row_number() OVER () AS q, v.group_a, v.group_b, v.p, a.id AS a, b.id AS b FROM v JOIN m a ON a.g = v.group_a AND a.at = v.i JOIN m b ON b.g = v.group_b AND b.at = v.j),
+k AS (SELECT q, count(*) AS k FROM w JOIN st x ON x.id = w.a JOIN st y ON y.id = w.b AND y.e = x.e GROUP BY 1), z AS (SELECT id, count(*) AS n FROM st GROUP BY 1)
+SELECT group_a, group_b, p AS n_pairs, count(*) AS sampled, round_even(avg(coalesce(coalesce(k, 0)::DOUBLE / nullif(coalesce(za.n, 0) + coalesce(zb.n, 0) - coalesce(k, 0), 0), 0)), 9) AS mean_similarity
+FROM w LEFT JOIN k USING (q) LEFT JOIN z za ON za.id = w.a LEFT JOIN z zb ON zb.id = w.b GROUP BY 1, 2, 3
+""")
+def q70b_sampled_similarity(spark: SparkSession, sf: str) -> DataFrame:
+    """Mean similarity of 2,000 pairs at most of every two priorities."""
+    sets = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_partkey").alias("element")).distinct()
+    groups = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("g"))
+    return similarity.sampled_similarity(sets, groups, "g", 2000, 37).select("group_a", "group_b", "n_pairs", "sampled", _r("mean_similarity"))
+
+
 @query("WITH s AS (SELECT l_orderkey, count(*) AS size FROM lineitem GROUP BY 1) SELECT o_orderpriority AS stratum, size, count(*) AS n FROM s JOIN orders ON o_orderkey = l_orderkey GROUP BY 1, 2")
 def q72_size_histogram(spark: SparkSession, sf: str) -> DataFrame:
     s, o = table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("size")), table(spark, sf, "orders")

@@ -147,10 +147,16 @@ def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> Da
     sets = materialize(sets.dropDuplicates(["node"]), "sets")  # every member of a list is here; rows that repeat id and text give theirs once
 
     def compare(pairs: DataFrame) -> DataFrame:
-        of = sets.select("node", "n", "brief", "tokens")
-        both = pairs.join(of.toDF("a", "na", "sa", "ta"), "a").join(of.toDF("b", "nb", "sb", "tb"), "b").where(may_link(percent))
+        # Sizes and sketches rule out most pairs on narrow rows; only what is left fetches tokens.
+        of = sets.select("node", "n", "brief")
+        near = pairs.join(of.toDF("a", "na", "sa"), "a").join(of.toDF("b", "nb", "sb"), "b").where(may_link(percent))
+        near = materialize(near.select("a", "b", "na", "nb").distinct(), "near")
+        tokens = sets.select("node", "tokens")
+        both = near.join(tokens.toDF("b", "tb"), "b").join(tokens.toDF("a", "ta"), "a")
         shared = F.size(F.array_intersect("ta", "tb"))
-        return materialize(both.where(100 * shared >= percent * (F.size("ta") + F.size("tb") - shared)).select("a", "b").distinct(), "links")
+        found = materialize(both.where(100 * shared >= percent * (F.col("na") + F.col("nb") - shared)).select("a", "b"), "links")
+        discard(near)
+        return found
 
     found = link_lists(lists.select("key", "node"), compare(pairs), pairs, sets, percent, compare)
     discard(one, lists, pairs, asked, sets)

@@ -136,6 +136,13 @@ def test_ngram_join_edges(docs, none):
     assert ngram_join.jaccard_components(none).count() == 0
 
 
+def test_rows_that_repeat_id_and_text_link_once(spark):
+    w = [f"w{k}" for k in range(60)]
+    docs = spark.createDataFrame([(5, " ".join(w))] * 3 + [(7, " ".join(w[:57] + ["x"]))] * 2 + [(7, "another text")], "doc_id long, text string")
+    got = sorted((r["doc_id"], r["n_shingles"], r["component_id"]) for r in ngram_join.jaccard_components(docs).collect())
+    assert got == [(5, 56, 5)] * 3 + [(7, 1, 7)] + [(7, 54, 5)] * 2
+
+
 def test_rows_without_an_id_keep_their_links(spark):
     w = [f"w{k}" for k in range(60)]
     texts = {5: w, None: w[:50] + ["x1"] + w[51:], 9: w[:50] + ["x1", "x2"] + w[52:57]}
@@ -326,8 +333,10 @@ def test_bands_reach_the_recall():
     assert 1 - (1 - 0.75**rows) ** bands >= 0.97 > 1 - (1 - 0.75**rows) ** (bands - 1)
 
 
-def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch):
-    # Ten pairs of near copies without a common window, all in one bucket.
+@pytest.mark.parametrize("part", [3, 4_096])
+def test_every_pair_of_a_bucket_is_compared(spark, monkeypatch, part):
+    # Ten pairs of near copies without a common window, all in one bucket, whole or dealt over parts.
+    monkeypatch.setattr(ngram_join, "LIST_PART", part)
     real = para_dedup.unit_rows
     monkeypatch.setattr(para_dedup, "unit_rows", lambda *a: real(*a).withColumn("keys", F.when(F.col("keys").isNotNull(), F.array(F.lit(1).cast("long")))))
     rng = np.random.default_rng(9)

@@ -44,6 +44,8 @@ SALTS = 64
 BROADCAST_IDS = 500_000
 #: 64-bit words of the sketch that lists carry; rounds in which each list meets one more member before all that is left is listed.
 BRIEF, ROUNDS = 16, 1
+#: Members of a list for each part it is dealt over where all members meet.
+LIST_PART = 4_096
 #: Names of sets that a task remembers so as to index a set once; the rest is left to the lists.
 SEEN_NAMES = 500_000
 
@@ -271,10 +273,11 @@ def prune(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return near.where(fit).select("a", "b", "na", "nb")
 
 
-def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, n_words: int) -> DataFrame:
+def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, n_words: int, repeats: bool) -> DataFrame:
     """The linked ones of pairs (a, b, na, nb), written: compared token by token.
 
     Each set is computed from the text of one document that has it; that document is found by id and text hash, null ids too.
+    repeats: some rows have both id and text in common, so that a document may be found more than once.
     """
     asked = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     asked = materialize(asked.join(nodes.select("node", "doc"), "node").select("node", F.col("doc.id").alias("i"), F.col("doc.at").alias("t")), "asked")
@@ -289,7 +292,9 @@ def verify(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, percent: int, n
         return materialize(pairs.select("a", "b"), "links")
     few = n_asked <= BROADCAST_IDS
     wanted = F.broadcast(asked) if few else asked
-    fetched = texts.join(wanted, (F.xxhash64("text") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).groupBy("node").agg(F.min("text").alias("text"))
+    fetched = texts.join(wanted, (F.xxhash64("text") == F.col("t")) & F.col("id").eqNullSafe(F.col("i"))).select("node", "text")
+    if repeats:
+        fetched = fetched.groupBy("node").agg(F.min("text").alias("text"))
     sets = materialize(fetched.mapInPandas(run, "node long, tokens array<long>"), "tokens")
     # The members' tokens travel to their hubs; the hub's own are not copied before the last join.
     half = pairs.join(sets.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
@@ -321,7 +326,7 @@ def link_lists(members: DataFrame, links: DataFrame, tested: DataFrame, nodes: D
             F.max(F.struct("component", "hub")).alias("o"),
         )
         spans = spans.where("parts > 1").groupBy("k", "h", "g", "same", "parts").agg(F.min(F.struct("key", "o")).alias("o"))
-        spans = materialize(spans.select("o.key", "o.o.component", "o.o.hub"), "spans")
+        spans = materialize(spans.select("o.key", "o.o.component", "o.o.hub", "k"), "spans")
         if spans.limit(1).count() == 0:
             discard(spans, links, tested)
             return found
@@ -340,10 +345,12 @@ def link_lists(members: DataFrame, links: DataFrame, tested: DataFrame, nodes: D
             break
         discard(found, spans)
         found = components(links, "a", "b")
-    rest = rest.join(spans.select("key"), "key", "left_semi").join(nodes.select("node", "n", "brief"), "node")
-    one = rest.select("key", F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("brief").alias("sa"))
-    other = rest.select("key", F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("brief").alias("sb"))
-    met = one.join(other, (one["key"] == other["key"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(percent))
+    # A list of k members is dealt over k / LIST_PART parts, each of which meets all of it: the comparisons of a long list are many tasks' work.
+    rest = rest.join(spans.select("key", F.expr(f"int(ceil(k / {LIST_PART}))").alias("parts")), "key").join(nodes.select("node", "n", "brief"), "node")
+    part, each = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = rest.select("key", part.alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("brief").alias("sa"))
+    other = rest.select("key", each.alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("brief").alias("sb"))
+    met = one.join(other, (one["key"] == other["key"]) & (one["part"] == other["part"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(percent))
     pairs = materialize(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "new")
     more = compare(pairs)
     both = materialize(links.unionByName(more), "links")
@@ -397,6 +404,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     grouped = materialize(_lists(sets.where("keys IS NOT NULL")), "lists")
     ids = materialize(sets.select("id", "at", "n", "node"), "ids")
     discard(sets)
+    repeats = ids.where("n > 0").groupBy("id", "at").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
     hubs = grouped.where("salt > 0").groupBy("key", "hub").agg(F.min("hub").alias("node"))
     hubs = hubs.select("key", F.min("node").over(Window.partitionBy("key")).alias("hub"), "node")  # at most SALTS rows a key
     pairs = grouped.select("hub", "node").unionByName(hubs.select("hub", "node")).where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
@@ -405,18 +413,18 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     discard(pairs)
     # One hub a node first; most of the other pairs are in one component then.
     first = materialize(near.groupBy("b").agg(F.min(F.struct("a", "na", "nb")).alias("o")).select("o.a", "b", "o.na", "o.nb"), "first")
-    links = verify(first, nodes, texts, percent, n_words)
+    links = verify(first, nodes, texts, percent, n_words, repeats)
     found = components(links, "a", "b")
     apart = near.join(first, ["a", "b"], "left_anti").withColumn("node", F.col("a"))
     apart = _labels(apart, found).withColumnRenamed("component", "ca").withColumn("node", F.col("b"))
     apart = materialize(_labels(apart, found).where("ca <> component").select("a", "b", "na", "nb"), "apart")
-    more = verify(apart, nodes, texts, percent, n_words)
+    more = verify(apart, nodes, texts, percent, n_words, repeats)
     both = materialize(links.unionByName(more), "links")
     discard(first, links, found, apart, more)
 
     def compare(pairs: DataFrame) -> DataFrame:
         near = materialize(prune(pairs, nodes, percent), "near")
-        found = verify(near, nodes, texts, percent, n_words)
+        found = verify(near, nodes, texts, percent, n_words, repeats)
         discard(near)
         return found
 

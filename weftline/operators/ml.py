@@ -61,6 +61,50 @@ def collate(encoded: DataFrame, batch: str, most: int | None = None, pad: int =
     ).drop("__w")
 
 
+def encode_example(elements: Column, repeats: Column | None = None, left: Column | None = None, right: Column | None = None) -> dict[str, Column]:
+    """The token lists of an example: element_tokens and repeat_tokens (a list a string), their lengths, n_elements, left_tokens and right_tokens.
+
+    Repeats and flanks that are not given, and null ones, are empty lists; a null string among the elements is an empty one and keeps its place.
+    """
+    none = F.array().cast("array<string>")
+    lists = lambda a: F.transform(none if a is None else F.coalesce(a, none), lambda x: encode_dna(F.coalesce(x, F.lit(""))))
+    flank = lambda x: encode_dna(F.lit("") if x is None else F.coalesce(x, F.lit("")))
+    e, r = lists(elements), lists(repeats)
+    sizes = lambda t: F.transform(t, lambda x: F.size(x))
+    return {
+        "element_tokens": e, "element_lengths": sizes(e), "repeat_tokens": r, "repeat_lengths": sizes(r), "n_elements": F.size(e),
+        "left_tokens": flank(left), "right_tokens": flank(right),
+    }
+
+
+def collate_examples(rows: DataFrame, batch: str, pad: int = PAD) -> DataFrame:
+    """rows of `encode_example` padded on both axes to the largest of their batch, with element_mask (1 for an element, 0 for a row of padding).
+
+    Repeats have as many rows as elements: what a batch's longest list of elements does not reach is cut. Flanks are as long as the longest
+    of either side. Lists of numbers other than ids (dense vectors) are padded alike. A null batch is a batch. The batch's sizes are an
+    aggregation with map-side combine and a join, so no batch is held by one task.
+    """
+    longest = lambda c: F.coalesce(F.max(F.array_max(F.transform(c, lambda x: F.size(x)))), F.lit(0))
+    sizes = rows.groupBy(F.col(batch).alias("__b")).agg(
+        F.max(F.size("element_tokens")).alias("__n"), longest("element_tokens").alias("__e"), longest("repeat_tokens").alias("__r"), F.max(F.greatest(F.size("left_tokens"), F.size("right_tokens"))).alias("__f")
+    )
+    out = rows.join(sizes, rows[batch].eqNullSafe(sizes["__b"]))
+
+    def filled(x: Column, width: Column, kind: str) -> Column:
+        return F.concat(x, F.array_repeat(F.lit(pad).cast(kind), width - F.size(x)))
+
+    def both_axes(name: str, width: str) -> Column:
+        kind = rows.schema[name].dataType.elementType.elementType.simpleString()
+        cut = F.transform(F.slice(name, F.lit(1), F.col("__n")), lambda x: filled(x, F.col(width), kind))
+        return F.concat(cut, F.array_repeat(F.array_repeat(F.lit(pad).cast(kind), F.col(width)), F.col("__n") - F.size(cut)))
+
+    n = F.size("element_tokens")
+    mask = F.concat(F.array_repeat(F.lit(1), n), F.array_repeat(F.lit(0), F.col("__n") - n))
+    flank = {f"{side}_tokens": filled(F.col(f"{side}_tokens"), F.col("__f"), "bigint") for side in ("left", "right")}
+    padded = {"element_mask": mask, "element_tokens": both_axes("element_tokens", "__e"), "repeat_tokens": both_axes("repeat_tokens", "__r"), **flank}
+    return out.withColumns(padded).drop("__b", "__n", "__e", "__r", "__f")
+
+
 def pool(vectors: Column, kind: str, weights: Column | None = None) -> Column:
     """Mean, max or weighted sum (softmax of `weights`) of an array of vectors, component by component."""
     zip_ = lambda f: (lambda a, b: F.zip_with(a, b, f))

@@ -233,6 +233,29 @@ def q75_collate(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("key", joined(F.col("padded")).alias("padded"), joined(F.col("mask")).alias("mask"))
 
 
+_CODES = "list_transform(string_split({0}, ''), lambda c: list_position(['A', 'C', 'G', 'T'], c) + 2)"
+_CODE = "translate({0}::VARCHAR, '0123456789', 'ACGTACGTAC')"
+_PAD = "list_concat({0}, list_transform(range(0, {1} - len({0})), lambda z: 0))"
+_ROWS = "array_to_string(list_transform(list_concat({0}, list_transform(range(0, n - len({0})), lambda z: []::BIGINT[])), lambda x: array_to_string(list_concat(x, list_transform(range(0, {1} - len(x)), lambda z: 0)), ',')), '|')"
+
+
+@query(f"""WITH {SQL_ARRAYS}, e AS (SELECT id, o_custkey AS b, list_transform(elements, lambda x: {_CODES.format(_CODE.format('x'))}) AS e, list_transform(list_concat(elements, [7]), lambda x: {_CODES.format(_CODE.format('(x * 11)'))}) AS r,
+CASE WHEN id % 3 = 0 THEN []::BIGINT[] ELSE {_CODES.format(_CODE.format('id'))} END AS f FROM ar JOIN orders ON o_orderkey = id),
+w AS (SELECT *, max(len(e)) OVER p AS n, max(list_max(list_transform(e, lambda x: len(x)))) OVER p AS we, max(list_max(list_transform(r, lambda x: len(x)))) OVER p AS wr, max(len(f)) OVER p AS wf FROM e WINDOW p AS (PARTITION BY b)),
+c AS (SELECT * REPLACE (r[1:n] AS r) FROM w)
+SELECT id, {_ROWS.format('e', 'we')} AS elements, array_to_string(list_concat(list_transform(e, lambda x: 1), list_transform(range(0, n - len(e)), lambda z: 0)), ',') AS mask, {_ROWS.format('r', 'wr')} AS repeats, array_to_string({_PAD.format('f', 'wf')}, ',') AS left_flank,
+array_to_string(list_transform(e, lambda x: len(x)), ',') AS lengths FROM c""")
+def q75b_collate_examples(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as examples, a batch a customer, padded on both axes; one repeat more than elements, so the longest order's last one is cut."""
+    letters = lambda x: F.translate(x.cast("string"), "0123456789", "ACGTACGTAC")
+    o = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("b"))
+    repeats = F.transform(F.concat("elements", F.array(F.lit(7).cast("long"))), lambda x: letters(x * 11))
+    coded = ml.encode_example(F.transform("elements", letters), repeats, F.when(F.col("id") % 3 != 0, letters(F.col("id"))))
+    out = ml.collate_examples(arrays(spark, sf).join(o, "id").select("id", "b", *[c.alias(k) for k, c in coded.items()]), "b")
+    lists = lambda c: F.array_join(F.transform(c, joined), "|")
+    return out.select("id", lists("element_tokens").alias("elements"), joined(F.col("element_mask")).alias("mask"), lists("repeat_tokens").alias("repeats"), joined(F.col("left_tokens")).alias("left_flank"), joined(F.col("element_lengths")).alias("lengths"))
+
+
 @query("""WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), h AS (SELECT vec_id, e, e[1:32] AS a, e[33:64] AS b FROM e)
 SELECT vec_id, round_even(list_sum(list_transform(range(1, 33), lambda i: (a[i] + b[i]) / 2)), 6) AS mean_pool, round_even(list_sum(list_transform(range(1, 33), lambda i: greatest(a[i], b[i]))), 6) AS max_pool FROM h""")
 def q76_pooling(spark: SparkSession, sf: str) -> DataFrame:

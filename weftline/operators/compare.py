@@ -31,28 +31,51 @@ def not_singleton(group: str) -> Column:
     return ~F.col(group).eqNullSafe(F.lit(SINGLETON))
 
 
-def pair_stats(rows: DataFrame, a: str, b: str, by: list[str] | None = None, where: Column | None = None, prefix: str = "") -> DataFrame:
-    """Agreement and coverage of two columns of calls, in one aggregation, overall or per stratum.
-
-    effective counts agreements and one-sided Unknowns' comparables against all rows; asymmetric ones have a call of one tool only.
-    """
-    on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+def _pair_counts(a: str, b: str, on: Column, prefix: str = "") -> list[Column]:
+    """The counts behind `_pair_shown`, of the rows where `on` holds."""
     A, B = F.col(a) != labels.UNKNOWN, F.col(b) != labels.UNKNOWN
-    both = on & A & B
-    count = lambda c, n: F.count_if(c).alias(n)
-    n = F.count_if(on)
-    got = rows.groupBy(*(by or [])).agg(
-        n.alias("total"), count(both, "comparable"), count(both & (F.col(a) == F.col(b)), "agree"), count(both & (F.col(a) != F.col(b)), "disagree"),
-        count(on & A & ~B, "a_only"), count(on & ~A & B, "b_only"), count(on & ~A & ~B, "neither"), count(on & A, "a_called"), count(on & B, "b_called"),
-    )
-    c = F.col
+    both, same = on & A & B, F.col(a) == F.col(b)
+    counts = {
+        "total": on, "comparable": both, "agree": both & same, "disagree": both & ~same, "a_only": on & A & ~B, "b_only": on & ~A & B, "neither": on & ~A & ~B, "a_called": on & A, "b_called": on & B,
+    }
+    return [F.count_if(c).alias(f"__{prefix}{k}") for k, c in counts.items()]
+
+
+def _pair_shown(prefix: str = "") -> list[Column]:
+    c = lambda k: F.col(f"__{prefix}{k}")
     shown = {k: c(k) for k in ("total", "comparable", "agree", "disagree", "a_only", "b_only", "neither")} | {
         "n_skipped": c("total") - c("comparable"), "pct_disagree": pct(c("disagree"), c("comparable")), "pct_full_agree": pct(c("agree") + c("neither"), c("total")),
         "pct_agree": pct(c("agree"), c("comparable")), "pct_effective": pct(c("agree"), c("total")), "pct_coverage": pct(c("comparable"), c("total")),
         "pct_asymmetric": pct(c("a_only") + c("b_only"), c("total")), "pct_a_only": pct(c("a_only"), c("total")), "pct_b_only": pct(c("b_only"), c("total")),
         "pct_a_called": pct(c("a_called"), c("total")), "pct_b_called": pct(c("b_called"), c("total")),
     }
-    return got.select(*(by or []), *[v.alias(prefix + k) for k, v in shown.items()])
+    return [v.alias(prefix + k) for k, v in shown.items()]
+
+
+def pair_stats(rows: DataFrame, a: str, b: str, by: list[str] | None = None, where: Column | None = None, prefix: str = "") -> DataFrame:
+    """Agreement and coverage of two columns of calls, in one aggregation, overall or per stratum.
+
+    effective counts agreements and one-sided Unknowns' comparables against all rows; asymmetric ones have a call of one tool only.
+    """
+    on = F.lit(True) if where is None else F.coalesce(where, F.lit(False))
+    return rows.groupBy(*(by or [])).agg(*_pair_counts(a, b, on, prefix)).select(*(by or []), *_pair_shown(prefix))
+
+
+def strata_report(rows: DataFrame, a: str, b: str, kind: str, subkind: str, group: str) -> DataFrame:
+    """level (overall, type, subtype), stratum, modal_type and the statistics of `pair_stats`, with and without singletons (ns_), of every stratum.
+
+    All levels and both regimes come from one read and one shuffle, by grouping sets. Rows without a type or subtype are a stratum of their
+    own, called Unknown; modal_type is a subtype's most frequent type, the smallest on ties, Unknown if none, and null on other levels.
+    """
+    own = rows.withColumns({"__kind": F.col(kind), "__k": F.col(kind), "__s": F.col(subkind)})
+    got = own.groupingSets([[], ["__k"], ["__s"]], "__k", "__s").agg(
+        F.grouping("__k").alias("__no_k"), F.grouping("__s").alias("__no_s"), modal("__kind").alias("__modal"), *_pair_counts(a, b, F.lit(True)), *_pair_counts(a, b, not_singleton(group), "ns_")
+    )
+    of_kind, of_subkind = F.col("__no_k") == 0, F.col("__no_s") == 0
+    return got.select(
+        F.when(of_kind, "type").when(of_subkind, "subtype").otherwise("overall").alias("level"), F.when(of_kind, labels.fill(F.col("__k"))).when(of_subkind, labels.fill(F.col("__s"))).alias("stratum"),
+        F.when(of_subkind, labels.fill(F.col("__modal"))).alias("modal_type"), *_pair_shown(), *_pair_shown("ns_"),
+    )
 
 
 def confidence(rows: DataFrame, a: str, b: str) -> DataFrame:

@@ -245,3 +245,24 @@ def q46c_preferred_source(spark: SparkSession, sf: str) -> DataFrame:
     return first_per_key(table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_orderpriority"), ["o_custkey"], ["o_orderpriority", "o_orderkey"])
 
 
+
+
+_REPORT = {k: v for k, v in (("overall", "NULL"), ("type", "coalesce(segment, 'Unknown')"), ("subtype", "coalesce(nation, 'Unknown')"))}
+
+
+def _report_sql() -> str:
+    """The levels one by one, each with both regimes."""
+    levels = []
+    for level, name in _REPORT.items():
+        by = {"overall": "", "type": " GROUP BY segment", "subtype": " GROUP BY nation"}[level]
+        kind = "(SELECT coalesce(arg_max(m.segment, (m.k, -m.r)), 'Unknown') FROM md2 m WHERE m.nation IS NOT DISTINCT FROM dt.nation)" if level == "subtype" else "NULL::VARCHAR"
+        both = _stats_sql().removeprefix("SELECT ").removesuffix(" FROM dt") + ", " + _stats_sql("", SINGLE, "ns_").removeprefix("SELECT ").removesuffix(" FROM dt")
+        levels.append(f"SELECT '{level}' AS level, {name}::VARCHAR AS stratum, {kind} AS modal_type, {both} FROM dt{by}")
+    counts = "md2 AS (SELECT nation, segment, count(*) AS k, row_number() OVER (ORDER BY segment) AS r FROM dt WHERE segment IS NOT NULL GROUP BY nation, segment)"
+    return f"WITH {CALLS}, {counts} " + " UNION ALL ".join(levels)
+
+
+@query(_report_sql())
+def q35b_strata_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Overall, by segment and by nation, with and without singletons, from one shuffle by grouping sets."""
+    return compare.strata_report(_detail(spark, sf), "call_a", "call_b", "segment", "nation", "group_name")

@@ -11,14 +11,14 @@ from weftline.operators.interval import gap
 from weftline.sources import schemas
 
 
-def read_results(spark: SparkSession, root: str, recursive: bool = True) -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "result.json") -> tuple[DataFrame, DataFrame]:
     """(source, Sequences of the readable documents; source of the broken ones).
 
-    All result.json at any depth, or those in Result_* folders one level down. A broken file costs its own rows only.
+    All files of that name at any depth, or result.json in Result_* folders one level down. A broken file costs its own rows only.
     """
     reader = spark.read.option("wholetext", True)
     if recursive:
-        files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", "result.json").text(root)
+        files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     else:
         files = reader.text(f"{root}/Result_*/result.json")
     parsed = F.from_json("value", schemas.RESULT + ", _corrupt_record string", {"mode": "PERMISSIVE"})
@@ -130,17 +130,23 @@ def text_ids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.where(F.col("value").startswith(">")).select(F.split(F.trim(F.substring("value", 2, 1 << 30)), r"\s+")[0].alias("array_name")).where("array_name <> ''")
 
 
+def read_clusters(spark: SparkSession, path: str, cluster: str = "cluster_id") -> DataFrame:
+    """kind, cluster, id, elements (integers in order) of indexed text by cluster."""
+    records = spark.read.option("lineSep", ">").schema(f"value string, kind string, `{cluster}` string").text(path).where("trim(value) <> ''")
+    return parse_indexed_text(records, keep=["kind", cluster])
+
+
 def read_indexed_text(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """id, elements (integers in order) of indexed text, one record between marks."""
     return parse_indexed_text(spark.read.option("lineSep", ">").text(path).where("trim(value) <> ''"))
 
 
-def parse_indexed_text(records: DataFrame, value: str = "value") -> DataFrame:
-    """id, elements of records `>id`, newline, `0, 1, 2`. Tokens that are no integers are dropped; signs are allowed."""
+def parse_indexed_text(records: DataFrame, value: str = "value", keep: list[str] | None = None) -> DataFrame:
+    """The columns to keep, id and elements of records `>id`, newline, `0, 1, 2`. Tokens that are no integers are dropped; signs are allowed."""
     lines = F.split(F.regexp_replace(value, "^>", ""), "\n")
     tokens = F.transform(F.split(F.array_join(F.slice(lines, F.lit(2), F.size(lines)), ","), ","), lambda t: F.trim(t))
     whole = F.filter(tokens, lambda t: t.rlike("^-*[0-9]+$"))
-    return records.select(F.trim(lines[0]).alias("id"), F.filter(F.transform(whole, lambda t: t.try_cast("int")), lambda t: t.isNotNull()).alias("elements")).where("id <> ''")
+    return records.select(*(keep or []), F.trim(lines[0]).alias("id"), F.filter(F.transform(whole, lambda t: t.try_cast("int")), lambda t: t.isNotNull()).alias("elements")).where("id <> ''")
 
 
 def element_sets(arrays: DataFrame) -> DataFrame:
@@ -148,24 +154,29 @@ def element_sets(arrays: DataFrame) -> DataFrame:
     return arrays.select("id", F.array_distinct("elements").alias("elements")).where(F.size("elements") > 0)
 
 
-def read_map_json(spark: SparkSession, path: str, kind: str) -> DataFrame:
-    """key, value rows of a JSON file that is one object."""
-    return spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", kind)).alias("key", "value"))
+def read_map_json(spark: SparkSession, path: str, kind: str, lines: bool = False) -> DataFrame:
+    """key, value rows of a JSON file that is one object, or of files with an object a line."""
+    return spark.read.text(path, wholetext=not lines).select(F.explode(F.from_json("value", kind)).alias("key", "value"))
+
+
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """element, idx of an index written in shards."""
+    return read_map_json(spark, path, "map<string,bigint>", lines=True).select(F.col("key").alias("element"), F.col("value").alias("idx"))
 
 
-def read_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """array_id, repeat, direction; no rows if the file is missing."""
+def read_metadata(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """array_id, repeat, direction, of one object or of an object a line; no rows if the file is missing."""
     from pyspark.errors import AnalysisException
 
     try:
-        return read_map_json(spark, path, schemas.METADATA).select(F.col("key").alias("array_id"), "value.*")
+        return read_map_json(spark, path, schemas.METADATA, lines).select(F.col("key").alias("array_id"), "value.*")
     except AnalysisException:
         return spark.createDataFrame([], "array_id string, repeat string, direction string")
 
 
-def read_flip_map(spark: SparkSession, path: str) -> DataFrame:
-    """array_name, was_flipped of cluster metadata, over both levels of the object."""
-    rows = read_map_json(spark, path, schemas.CLUSTERS).select(F.explode("value.arrays").alias("array_name", "v"))
+def read_flip_map(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """array_name, was_flipped of cluster metadata, over both levels of the object (or of an object a line)."""
+    rows = read_map_json(spark, path, schemas.CLUSTERS, lines).select(F.explode("value.arrays").alias("array_name", "v"))
     return rows.select("array_name", F.coalesce("v.was_flipped", F.lit(False)).alias("was_flipped"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.index import first_seen_ids
+
 
 def collapse_summary(rows: DataFrame, signature: list[str], order: str, stratum: str) -> DataFrame:
     """stratum, before, after, removed and the number of signatures found in several strata.
@@ -110,6 +112,24 @@ def reliable_strata(rows: DataFrame, stratum: str, n: str, least: int = 5) -> Da
     return rows.groupBy(stratum).agg(F.max(n).alias("most")).where(F.col("most") >= least)
 
 
+def compare_runs(rows: DataFrame, run: str, order: str, stratum: str, n: str, metrics: list[str], least: int = 5) -> DataFrame:
+    """A row for each stratum with `least` rows or more in some run: stratum, n (the most of any run) and, for each metric, a map of run to value and the best run.
+
+    Rows: a run's figures for a stratum, one each. NaN and null are no value; the first run by `order` wins ties; without any value there is no best run.
+    """
+    known = lambda m: F.col(m).isNotNull() & ~F.isnan(m)
+    best = lambda m: F.min_by(run, F.when(known(m), F.struct((-F.col(m)).alias("v"), F.col(order).alias("o"))))
+    entries = lambda m: F.map_from_entries(F.sort_array(F.collect_list(F.when(known(m), F.struct(F.col(run), F.col(m).alias("v"))))))
+    of_metric = [c for m in metrics for c in (entries(m).alias(m), best(m).alias(f"best_{m}"))]
+    return rows.groupBy(stratum).agg(F.max(n).alias("n"), *of_metric).where(F.col("n") >= least)
+
+
+def pages(strata: DataFrame, stratum: str, per_page: int = 4) -> DataFrame:
+    """stratum, page, place of the distinct strata in their order, per_page a page."""
+    numbered = first_seen_ids(strata.where(F.col(stratum).isNotNull()), stratum, [stratum])
+    return numbered.select(stratum, F.expr(f"idx div {per_page}").alias("page"), (F.col("idx") % per_page).alias("place"))
+
+
 def log_loss(rows: DataFrame, label: str, score: str, by: list[str] | None = None, least: float = 1e-7) -> DataFrame:
     """n and the mean binary cross-entropy of scores, kept `least` away from 0 and 1; rows without label or score are left out."""
     known = rows.where(F.col(label).isNotNull() & F.col(score).isNotNull())

@@ -83,7 +83,11 @@ def q65_early_stop(spark: SparkSession, sf: str) -> DataFrame:
     return quality.early_stop(_losses(spark, sf), "run", "epoch", "loss", 3)
 
 
-@query()
+@query(f"""WITH RECURSIVE {LOSSES}, n AS (SELECT run, loss, row_number() OVER (PARTITION BY run ORDER BY epoch) AS i FROM lo),
+f AS (SELECT DISTINCT run, 0::BIGINT AS i, 'inf'::DOUBLE AS best, 0 AS bad, 0.001::DOUBLE AS rate FROM lo
+UNION ALL SELECT f.run, n.i, CASE WHEN loss < best * (1 - 1e-4::DOUBLE) THEN loss ELSE best END, CASE WHEN loss < best * (1 - 1e-4::DOUBLE) OR bad = 3 THEN 0 ELSE bad + 1 END,
+CASE WHEN bad = 3 AND NOT loss < best * (1 - 1e-4::DOUBLE) THEN greatest(rate * 0.5, 1e-6::DOUBLE) ELSE rate END FROM f JOIN n ON n.run = f.run AND n.i = f.i + 1)
+SELECT run, arg_max(rate, i) AS final_rate FROM f GROUP BY run""")
 def q65b_plateau_rate(spark: SparkSession, sf: str) -> DataFrame:
     return quality.plateau_rates(_losses(spark, sf), "run", "epoch", "loss", 1e-3)
 
@@ -123,6 +127,27 @@ def q67b_reliable_strata(spark: SparkSession, sf: str) -> DataFrame:
     return quality.reliable_strata(textfmt.stratum_rows(_logs(spark, sf)), "stratum", "n")
 
 
+_RUN_SCORES = f"{SCORED}, rs AS (SELECT lang, source, count(*) AS n, count(*) FILTER (WHERE y = yhat) / count(*)::DOUBLE AS accuracy, coalesce(2 * count(*) FILTER (WHERE y = 1 AND yhat = 1) / nullif((2 * count(*) FILTER (WHERE y = 1 AND yhat = 1) + count(*) FILTER (WHERE y <> yhat))::DOUBLE, 0), 0) AS f1 FROM sc JOIN (SELECT doc_id, source FROM documents) USING (doc_id) GROUP BY 1, 2)"
+
+
+@query(f"""WITH {_RUN_SCORES}, b AS (SELECT source, max(n) AS most, arg_max(lang, (f1, -ord_)) AS best_f1, arg_max(lang, (accuracy, -ord_)) AS best_accuracy FROM (SELECT *, dense_rank() OVER (ORDER BY lang) AS ord_ FROM rs) GROUP BY 1 HAVING max(n) >= 5)
+SELECT source, most AS n, lang AS run, round_even(f1, 9) AS f1, round_even(accuracy, 9) AS accuracy, lang = best_f1 AS is_best_f1, lang = best_accuracy AS is_best_accuracy FROM rs JOIN b USING (source)""")
+def q67c_compare_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Languages as runs and sources as strata: maps of run to metric in each stratum, an entry a row here."""
+    rows = _scored(spark, sf).join(table(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    scores = quality.threshold_metrics(rows, "y", "yhat", ["lang", "source"])
+    out = quality.compare_runs(scores, "lang", "lang", "source", "n", ["f1", "accuracy"])
+    out = out.select("source", "n", "accuracy", "best_f1", "best_accuracy", F.explode("f1").alias("run", "v"))
+    nine = lambda c, name: seq.round_half_even(c, 9).alias(name)
+    return out.select("source", "n", "run", nine(F.col("v"), "f1"), nine(F.col("accuracy")[F.col("run")], "accuracy"), (F.col("run") == F.col("best_f1")).alias("is_best_f1"), (F.col("run") == F.col("best_accuracy")).alias("is_best_accuracy"))
+
+
+@query("SELECT n_name AS stratum, (row_number() OVER (ORDER BY n_name) - 1) // 4 AS page, (row_number() OVER (ORDER BY n_name) - 1) % 4 AS place FROM (SELECT DISTINCT n_name FROM customer JOIN nation ON n_nationkey = c_nationkey)")
+def q67d_strata_pages(spark: SparkSession, sf: str) -> DataFrame:
+    c, n = table(spark, sf, "customer"), table(spark, sf, "nation")
+    return quality.pages(c.join(n, c["c_nationkey"] == n["n_nationkey"]).select(F.col("n_name").alias("stratum")), "stratum")
+
+
 @query("""WITH na AS (SELECT l_orderkey AS id, list(upper(p_name) ORDER BY l_linenumber, l_partkey) AS e FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY 1),
 l AS (SELECT id, e, len(e)::BIGINT AS n, list_sum(list_transform(e, lambda x: length(x)))::BIGINT AS total, array_to_string(e, '') AS t FROM na),
 m AS (SELECT *, total / n::DOUBLE AS mean_len FROM l)

@@ -3,6 +3,8 @@
 import json
 import os
 
+import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from weftline.operators import cluster
@@ -81,3 +83,14 @@ def test_remaining_readers(spark, tmp_path):
     assert [(r["name"], r["text"]) for r in readers.read_logs(spark, str(tmp_path / "run.log")).collect()] == [("run.log", "line 1\nline 2\n")]
     stats = writers.cluster_stats_json(spark.createDataFrame([(3, 1)], "total int, single int")).first()[0]
     assert json.loads(stats) == {"total": 3, "single": 1}
+
+
+def test_ids_of_either_suffix(spark, tmp_path):
+    (tmp_path / "one").mkdir()
+    (tmp_path / "one" / "x.fasta").write_text(">p q\nAC\n")
+    assert [r[0] for r in readers.text_ids_in(spark, str(tmp_path / "one")).collect()] == ["p"]
+    (tmp_path / "one" / "x.fa").write_text(">r\nAC\n")
+    assert [r[0] for r in readers.text_ids_in(spark, str(tmp_path / "one")).collect()] == ["r"]
+    (tmp_path / "none").mkdir()
+    with pytest.raises(AnalysisException):
+        readers.text_ids_in(spark, str(tmp_path / "none"))

@@ -292,6 +292,17 @@ def q76_pooling(spark: SparkSession, sf: str) -> DataFrame:
     return rows.select("vec_id", six(total(ml.pool(F.col("h"), "mean")), "mean_pool"), six(total(ml.pool(F.col("h"), "max")), "max_pool"))
 
 
+@query("""WITH h AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), w AS (SELECT *, list_transform([e[1], e[17], e[33], e[49]], lambda x: exp(x)) AS u FROM h)
+SELECT vec_id, round_even(list_sum(list_transform(range(1, 17), lambda i: i * (u[1] * e[i] + u[2] * e[16 + i] + u[3] * e[32 + i] + u[4] * e[48 + i]) / list_sum(u))), 6) AS attention_pool FROM w""")
+def q76b_attention_pooling(spark: SparkSession, sf: str) -> DataFrame:
+    """Four vectors of sixteen summed by the softmax of their first components."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    rows = table(spark, sf, "embeddings").select("vec_id", F.array(*[F.slice(v, 16 * k + 1, 16) for k in range(4)]).alias("h"))
+    pooled = ml.pool(F.col("h"), "attention", F.transform("h", lambda x: F.get(x, F.lit(0))))
+    total = F.aggregate(F.transform(pooled, lambda x, i: x * (i + 1)), F.lit(0.0), lambda a, b: a + b)
+    return rows.select("vec_id", seq.round_half_even(total, 6).alias("attention_pool"))
+
+
 @query("""WITH e AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings)
 SELECT vec_id, round_even(list_sum(list_transform(range(0, 64), lambda i: (i + 1) * CASE WHEN i % 2 = 0 THEN e[i + 1] * cos(vec_id % 100 * pow(10000.0::DOUBLE, -2.0 * (i // 2) / 64)) - e[i + 2] * sin(vec_id % 100 * pow(10000.0::DOUBLE, -2.0 * (i // 2) / 64))
 ELSE e[i] * sin(vec_id % 100 * pow(10000.0::DOUBLE, -2.0 * (i // 2) / 64)) + e[i + 1] * cos(vec_id % 100 * pow(10000.0::DOUBLE, -2.0 * (i // 2) / 64)) END)), 5) AS rotated,

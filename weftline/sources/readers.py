@@ -130,6 +130,16 @@ def text_ids(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     return lines.where(F.col("value").startswith(">")).select(F.split(F.trim(F.substring("value", 2, 1 << 30)), r"\s+")[0].alias("array_name")).where("array_name <> ''")
 
 
+def text_ids_in(spark: SparkSession, folder: str) -> DataFrame:
+    """Ids of the folder's *.fa files or, if it has none, of its *.fasta files; an error if it has neither."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        return text_ids(spark, f"{folder}/*.fa")
+    except AnalysisException:
+        return text_ids(spark, f"{folder}/*.fasta")
+
+
 def read_clusters(spark: SparkSession, path: str, cluster: str = "cluster_id") -> DataFrame:
     """kind, cluster, id, elements (integers in order) of indexed text by cluster."""
     records = spark.read.option("lineSep", ">").schema(f"value string, kind string, `{cluster}` string").text(path).where("trim(value) <> ''")

@@ -38,17 +38,42 @@ def test_parts_hold_whole_rows(monkeypatch):
 def test_recall_of_spliced_passages_by_length(spark):
     rng = np.random.default_rng(3)
     fresh = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
-    lengths, rows = (45, 49, 55, 80), []
+    lengths, rows = (35, 36, 38, 40, 43, 45, 49, 55, 80), []
     for k, n in enumerate(lengths):
         for j in range(40):
             passage = fresh(n)
             for side in (0, 1):
                 rows.append((1000 * k + 2 * j + side, f"{fresh(int(rng.integers(5, 90)))} {passage} {fresh(int(rng.integers(5, 90)))}"))
-    out = para_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id").distinct().collect()
+    out = para_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).select("doc_id", "keep_id", "n_words").distinct().collect()
     found = {r["doc_id"]: r["keep_id"] for r in out}
     assert all(v == k - k % 2 for k, v in found.items())
     share = {n: sum(1000 * k + 2 * j in found for j in range(40)) / 40 for k, n in enumerate(lengths)}
-    assert share[45] >= 0.9 and share[49] == share[55] == share[80] == 1
+    assert all(v == 1 for v in share.values())
+    assert all(lengths[r["doc_id"] // 1000] - 14 <= r["n_words"] <= lengths[r["doc_id"] // 1000] for r in out)
+    assert all(r["n_words"] >= 35 for r in out)
+
+
+def test_shorter_runs_do_not_count(spark):
+    rng = np.random.default_rng(6)
+    fresh = lambda n: " ".join("".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n))
+    rows = []
+    for k, n in enumerate((25, 30, 32, 34) * 10):
+        passage = fresh(n)
+        rows += [(2 * k + side, f"{fresh(40)} {passage} {fresh(40)}") for side in (0, 1)]
+    assert para_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).count() == 0
+
+
+def test_a_short_run_beside_a_long_one(spark):
+    rng = np.random.default_rng(7)
+    fresh = lambda n: ["".join(rng.choice(list("abcdefghij"), 7)) for _ in range(n)]
+    rows = []
+    for k in range(20):
+        # 0 and 1 share 90 words, 2 has 36 of these: its own windows alone may cover less than 35.
+        w = fresh(90)
+        texts = [[*fresh(9), *w, *fresh(9)], [*fresh(30), *w], [*fresh(20), *w[20:56], *fresh(20)]]
+        rows += [(3 * k + j, " ".join(t)) for j, t in enumerate(texts)]
+    out = para_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["keep_id"]) for r in out} == {(d, d - d % 3) for d, _ in rows}
 
 
 def test_recall_of_similar_paragraphs_against_all_pairs(spark):

@@ -7,7 +7,8 @@ Two kinds of units meet by key:
   exact Jaccard similarity of their shingle sets, until every two of a bucket are in one component or have been compared.
 * passages spliced into other text, which no line shows: windows of WINDOW_WORDS words at anchors that the words themselves
   choose (the smallest hash among SPREAD neighbouring places). Any run of WINDOW_WORDS + SPREAD - 1 words that two texts share
-  holds a common window; these collide exactly when they are equal.
+  holds a common window; these collide exactly when they are equal. Where common windows cover fewer than LEAST_WORDS words of a text,
+  all windows within reach of them are units too, in every text that has them, so a shared run of LEAST_WORDS words is covered whole.
 
 Units of one component are one passage. In each document overlapping units of a passage are one span, and only spans of
 LEAST_WORDS words or more count. The smallest document id of a component keeps its spans, the others' go.
@@ -115,6 +116,49 @@ def unit_rows(texts: DataFrame, bands: int, rows: int) -> DataFrame:
     return texts.where("id IS NOT NULL").mapInPandas(run, "id long, at long, start int, words int, unit long, keys array<long>")
 
 
+def near_windows(places: DataFrame, texts: DataFrame) -> DataFrame:
+    """id, at, start, unit of every window of the texts that starts at most LEAST_WORDS - WINDOW_WORDS words from one of its places (id, at, start)."""
+    reach = LEAST_WORDS - WINDOW_WORDS
+    asked = materialize(places.groupBy("id", "at").agg(F.collect_set("start").alias("places")), "asked")  # no more places than the text has words
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in in_parts(batches):
+            h, docs, _ = batch_words(batch["text"])
+            g = grams(h, SHINGLE)
+            found = []
+            for first, size, mine in zip(docs[:-1].tolist(), np.diff(docs).tolist(), batch["places"], strict=True):
+                at = np.unique(np.add.outer(np.asarray(mine, np.int64), np.arange(-reach, reach + 1)))
+                found.append(at[(at >= 0) & (at <= size - WINDOW_WORDS)] + first)
+            at = np.concatenate([*found, np.zeros(0, np.int64)])
+            doc = np.searchsorted(docs, at, "right") - 1
+            ids, ats = batch["id"].to_numpy(np.int64), batch["at"].to_numpy(np.int64)
+            yield pd.DataFrame({"id": ids[doc], "at": ats[doc], "start": (at - docs[doc]).astype(np.int32), "unit": _windows(g, at).view(np.int64)})
+
+    few = asked.count() <= BROADCAST_IDS
+    held = texts.join(F.broadcast(asked) if few else asked, ["id", "at"]).select("id", "at", "text", "places")
+    out = materialize(held.mapInPandas(run, "id long, at long, start int, unit long"), "dense")
+    discard(asked)
+    return out
+
+
+def shared_windows(windows: DataFrame) -> DataFrame:
+    """id, at, start, end, unit, written, of the windows that two ids have."""
+    common = materialize(windows.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit"), "common")
+    few = common.count() <= BROADCAST_IDS
+    hits = windows.join(F.broadcast(common) if few else common, "unit").select("id", "at", "start", (F.col("start") + WINDOW_WORDS).alias("end"), "unit")
+    hits = materialize(hits, "hits")
+    discard(common)
+    return hits
+
+
+def numbered_runs(units: DataFrame) -> DataFrame:
+    """id, at, run, start, end, unit, written: overlapping units of a text are one run; a new one begins where no unit before reaches."""
+    order = Window.partitionBy("id", "at").orderBy("start", "end", "unit")
+    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = units.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
+    return materialize(marked.withColumn("run", F.sum("new").over(order)).select("id", "at", "run", "start", "end", "unit"), "runs")
+
+
 def _paragraph_components(texts: DataFrame, rows: DataFrame, percent: int) -> DataFrame:
     """(node, component) of the paragraph names that are linked: they collide in a band and their shingle sets are similar.
 
@@ -169,7 +213,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     start_word counts the words (runs without ASCII white space) of the whole text. cluster_id names the passage; keep_id is the smallest
     id that has it, whose spans are kept. Only passages in two documents or more count. Null and empty texts and null ids have no
     spans. Rows that repeat id and text are one row; rows that repeat an id with other texts are one document, with spans in each text.
-    A passage of LEAST_WORDS + 2 * (SPREAD - 1) words or more that two documents share word for word always counts. Other columns are ignored.
+    A passage of LEAST_WORDS words or more that two documents share word for word always counts. Other columns are ignored.
     """
     on_workers(docs.sparkSession)
     texts = _texts(docs, id_col, text_col)
@@ -185,16 +229,21 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     shared = named.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit")
     spans = named.join(shared, "unit").select("id", "at", "start", (F.col("start") + F.col("words")).alias("end"), F.xxhash64(F.lit("paragraph"), "unit").alias("unit"))
 
-    common = materialize(windows.groupBy("unit").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("unit"), "common")
-    few = common.count() <= BROADCAST_IDS
-    hits = windows.join(F.broadcast(common) if few else common, "unit").select("id", "at", "start", (F.col("start") + WINDOW_WORDS).alias("end"), "unit")
+    hits = shared_windows(windows)
     units = materialize(hits.unionByName(spans), "units")
-
-    # Overlapping units of a document are one span: a new one begins where no unit before reaches.
-    order = Window.partitionBy("id", "at").orderBy("start", "end", "unit")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    marked = units.withColumn("new", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
-    runs = materialize(marked.withColumn("run", F.sum("new").over(order)).select("id", "at", "run", "start", "end", "unit"), "runs")
+    discard(found, hits)
+    runs = numbered_runs(units)
+    # Runs too short to count may be parts of a passage that does: their windows' neighbours decide, wherever these windows are.
+    short = runs.groupBy("id", "at", "run").agg((F.max("end") - F.min("start")).alias("n"), F.collect_set("unit").alias("units")).where(F.col("n") < LEAST_WORDS)
+    short = materialize(short.select(F.explode("units").alias("unit")).distinct(), "short")
+    if n_short := short.limit(BROADCAST_IDS + 1).count():
+        places = units.join(F.broadcast(short) if n_short <= BROADCAST_IDS else short, "unit").select("id", "at", "start")
+        dense = near_windows(places, texts)
+        more = shared_windows(dense)
+        both = materialize(units.unionByName(more), "units")
+        discard(runs, units, dense, more)
+        units, runs = both, numbered_runs(both)
+    discard(short, units)
     whole = runs.groupBy("id", "at", "run").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("unit").alias("first"))
     whole = whole.where(F.col("end_word") - F.col("start_word") >= LEAST_WORDS)
     edges = runs.join(whole.select("id", "at", "run", "first"), ["id", "at", "run"]).select(F.col("first").alias("a"), F.col("unit").alias("b")).distinct()

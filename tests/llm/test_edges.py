@@ -96,6 +96,35 @@ def test_token_store(spark, docs, none, tmp_path):
     assert token_store.read_documents(spark, str(tmp_path / "y")).count() == 0
 
 
+def test_lookup_over_shards(spark, tmp_path):
+    rng = np.random.default_rng(8)
+    ids = rng.integers(-(1 << 62), 1 << 62, 3000).tolist() + [77] * 40 + [None, None, (1 << 53) + 1]
+    docs = spark.createDataFrame([(k, f"text {n} of {k}") for n, k in enumerate(ids)], "doc_id long, text string").repartition(5)
+    path = str(tmp_path / "x")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        token_store.write_shards(docs, path, shard_ids=500)  # repeated ids go over several shards
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    shards = spark.read.schema(token_store.SHARDS).parquet(path)
+    assert shards.select("part").distinct().count() > 1 and shards.count() > 20
+    encoder, texts = tokenizing.store(tokenizing.default_tokenizer()), {}
+    for n, k in enumerate(ids):
+        texts.setdefault(k, []).append([*np.frombuffer(encoder.packed(f"text {n} of {k}"), "<u4").tolist(), 2])
+    keys = rng.choice(3000, 1000, replace=False).tolist()
+    asked = [ids[k] for k in keys] + rng.integers(-(1 << 62), 1 << 62, 1000).tolist() + [77, 77, None, (1 << 53) + 1, 1 << 62, -(1 << 63) + 1]
+    wanted = spark.createDataFrame([(k, 0) for k in asked], "doc_id long, part int")
+    got = {}
+    for r in token_store.lookup(spark, path, wanted).collect():
+        assert r["occurrence"] not in got.setdefault(r["doc_id"], {})
+        got[r["doc_id"]][r["occurrence"]] = r["ids"]
+    assert set(got) == set(asked) & set(texts)
+    assert all(sorted(v) == list(range(len(v))) and sorted(v.values()) == sorted(texts[k]) for k, v in got.items())
+    assert token_store.lookup(spark, path, wanted.limit(0)).count() == 0
+    token_store.write_shards(docs.limit(0), str(tmp_path / "y"))
+    assert token_store.lookup(spark, str(tmp_path / "y"), wanted).count() == 0
+
+
 def test_perfect_hash_is_minimal_and_rejects_strangers():
     keys = token_store.key_of(np.arange(5000), np.zeros(5000))
     table = token_store.PerfectHash.build(keys)
@@ -277,9 +306,17 @@ def test_topk(spark):
     for q, x in [o for o in ok if o[0] % 50 == 0]:
         best = sorted(((-int(x @ y), i) for i, y in ok if i != q))[:5]
         assert [got[q, r + 1] for r in range(5)] == [(i, -s) for s, i in best]
+    many = {(r["query_id"], r["rank"]): (r["vec_id"], r["score"]) for r in topk.top_k(v, v.where("vec_id < 300 OR vec_id = 304"), block=7).collect()}
+    assert all(many[key] == value for key, value in got.items()) and len(many) == 5 * 301
     assert topk.top_k(v, v.where("vec_id = 301")).count() == 0 and topk.top_k(v.limit(0), v.limit(0)).count() == 0
 
 
+def test_topk_plan_does_not_grow_with_the_queries(spark):
+    v = spark.range(3000).select(F.col("id").alias("vec_id"), F.array(*(F.rand(k) for k in range(4))).alias("embedding"))
+    plans = [topk.top_k(v, v.where("vec_id < 200"), block=b)._jdf.queryExecution().optimizedPlan().toString().count("\n") for b in (100, 2)]
+    assert plans[0] == plans[1]
+
+
 def toxic_rows():
     rng = np.random.default_rng(5)
     clean = ["".join(rng.choice(list("aeiourstln"), rng.integers(2, 8))) for _ in range(300)]

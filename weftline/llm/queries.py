@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftline.llm import chat_format, collocations, exact_dedup, html_main, leaderboard, line_runs, mixing, ngram_join, packing, para_dedup, token_store, topk, toxicity
-from weftline.runtime import scratch_dir, table
+from weftline.runtime import delete, materialize, scratch_dir, table
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,7 +127,9 @@ SELECT doc_id, size, source_size, target, size * (copies + coalesce(hit, FALSE):
 def op6_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/weftline-shards-{uuid.uuid4().hex}"
     token_store.write_shards(table(spark, sf_dir, "documents").select("doc_id", "text"), path)
-    return token_store.read_documents(spark, path)
+    read = materialize(token_store.read_documents(spark, path), "stored")  # four narrow columns a document
+    delete(spark, path)
+    return read
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ of bits set before. A lookup touches a few levels, one fingerprint and one offse
 is not in the shard is turned away by its fingerprint (but for one in 2^32).
 
 Shards are rows of Parquet files that Spark writes and commits, so any store Spark reaches will do and a lost executor's half-written
-shard never shows.
+shard never shows. The ids of a part's first and last documents lead from a key to its shards: `lookup` opens no others.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from itertools import pairwise
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -31,8 +32,12 @@ from weftline.llm import tokenizing
 
 #: Ids after which a shard is closed (16 MB at most, or one document).
 SHARD_IDS = 4_000_000
+#: Ids that are looked up in a shard at a time, on average, however many lie between its first and its last.
+LOOKUP_IDS = 100_000
 MAGIC = b"WTOK1\0"
-SHARDS = "part int, seq int, first_doc long, n_docs long, n_tokens long, keys binary, payload binary, index binary"
+#: Stands for a null id.
+NO_ID = -(1 << 63)
+SHARDS = "part int, seq int, first_doc long, last_doc long, n_docs long, n_tokens long, keys binary, payload binary, index binary"
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -164,16 +169,16 @@ class Shard:
         return None if offset[0] < 0 else self.tokens(int(offset[0]), int(length[0]))
 
 
-def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2) -> None:
-    """Encode every whole text, append end_id, and write shards in ascending order of the ids.
+def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", tokenizer: str | None = None, end_id: int = 2, shard_ids: int = SHARD_IDS) -> None:
+    """Encode every whole text, append end_id, and write shards in ascending order of the ids; one is closed when it has shard_ids token ids.
 
     Null and empty texts are the end id alone. Rows with the same id are kept apart by their occurrence, ordered by a hash of the
-    text; null ids count as the smallest integer. Columns other than id and text are ignored. No rows give no shards.
+    text; null ids count as the smallest integer, which is read back as null. Columns other than id and text are ignored. No rows give no shards.
     """
     tokenizer = tokenizer or tokenizing.default_tokenizer()
     end = int(end_id).to_bytes(4, "little")
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
+    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), text.alias("text"), F.xxhash64(text).alias("tie"))
     # Ranges by id; rows that share an id part by their texts' hash, so no id makes a range large unless its rows are all alike.
     rows = rows.repartitionByRange("id", "tie").sortWithinPartitions("id", "tie").select("id", "text")
 
@@ -183,14 +188,14 @@ def write_shards(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
 
         def shard() -> pd.DataFrame:
             keys, payload, index = build_shard(ids, packed)
-            return pd.DataFrame([(part, seq, ids[0], len(ids), size, keys, payload, index)], columns=[c.split()[0] for c in SHARDS.split(", ")])
+            return pd.DataFrame([(part, seq, ids[0], ids[-1], len(ids), size, keys, payload, index)], columns=[c.split()[0] for c in SHARDS.split(", ")])
 
         for batch in batches:
             for key, value in zip(batch["id"].tolist(), batch["text"], strict=True):
                 ids.append(key)
                 packed.append(encoder.packed(value) + end)
                 size += len(packed[-1]) // 4
-                if size >= SHARD_IDS:
+                if size >= shard_ids:
                     yield shard()
                     ids, packed, size, seq = [], [], 0, seq + 1
         if ids:
@@ -221,5 +226,53 @@ def read_documents(spark: SparkSession, path: str, id_col: str = "doc_id") -> Da
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     starts = sums.join(parts, "part").select("part", "seq", (F.col("part_start") + F.coalesce(F.sum("n_tokens").over(inside), F.lit(0))).alias("shard_start"))
     return read.join(starts, ["part", "seq"]).select(
-        F.nullif(F.col("id"), F.lit(-(1 << 63))).alias(id_col), (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
+        F.nullif(F.col("id"), F.lit(NO_ID)).alias(id_col), (F.col("shard_start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32"
     )
+
+
+def lookup(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """id_col, occurrence, ids (array<long>): the token ids of each wanted document, its end id included, through the shards' indexes.
+
+    Ids without a document have no row (but for one in 2^32 that a fingerprint lets pass); repeated ids count once, a null id asks for the
+    documents without one. Rows that share an id come each, numbered from 0. Other columns of `wanted` are ignored. A key goes to parts by the
+    parts' ranges (a row for each partition of the write), then to shards within a part; shards without a wanted id are not read.
+    """
+    shards = spark.read.schema(SHARDS).parquet(path)
+    spans = shards.groupBy("part").agg(F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi")).orderBy("part").collect()  # as many as the write had partitions
+    part, lo, hi = (np.array([r[c] for r in spans], np.int64) for c in ("part", "lo", "hi"))
+
+    def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column(0).to_numpy()
+            # Parts are in ascending order of their ids; an id whose rows go on in the next part has several.
+            first, last = np.searchsorted(hi, ids, "left"), np.searchsorted(lo, ids, "right")
+            many = np.maximum(0, last - first)
+            at = np.repeat(first - (np.cumsum(many) - many), many) + np.arange(int(many.sum()))
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, many)), pa.array(part[at].astype(np.int32))], ["id", "part"])
+
+    ids = wanted.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id")).distinct()
+    narrow = shards.select("part", "seq", "first_doc", "last_doc")
+    routed = ids.mapInArrow(route, "id long, part int").join(narrow, "part").where("id BETWEEN first_doc AND last_doc")
+    chunks = routed.groupBy("part", "seq").agg(F.ceil(F.count(F.lit(1)) / LOOKUP_IDS).alias("chunks"))
+    chunk = F.pmod(F.xxhash64("id"), F.col("chunks")).alias("chunk")
+    asked = routed.join(chunks, ["part", "seq"]).groupBy("part", "seq", chunk).agg(F.collect_list("id").alias("asked"))
+    rows = shards.select("part", "seq", "payload", "index").join(asked, ["part", "seq"])
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in batch.to_pylist():
+                shard, left = Shard(row["payload"], row["index"]), np.sort(np.array(row["asked"], np.int64))
+                turn = 0
+                while len(left):
+                    offset, length = shard.spans(left, np.full(len(left), turn))
+                    left, offset, length = left[offset >= 0], offset[offset >= 0], length[offset >= 0]
+                    for a in range(0, len(left), 1000):
+                        tokens = [shard.tokens(x, n).astype(np.int64) for x, n in zip(offset[a : a + 1000].tolist(), length[a : a + 1000].tolist(), strict=True)]
+                        n = len(tokens)
+                        columns = [pa.array(left[a : a + n]), pa.array([row["part"]] * n, pa.int32()), pa.array([row["seq"]] * n, pa.int32()), pa.array([turn] * n, pa.int64()), pa.array(tokens, pa.list_(pa.int64()))]
+                        yield pa.RecordBatch.from_arrays(columns, ["id", "part", "seq", "turn", "ids"])
+                    turn += 1
+
+    found = rows.mapInArrow(read, "id long, part int, seq int, turn long, ids array<long>")
+    number = F.row_number().over(Window.partitionBy("id").orderBy("part", "seq", "turn")).cast("long") - 1
+    return found.select(F.nullif(F.col("id"), F.lit(NO_ID)).alias(id_col), number.alias("occurrence"), "ids")

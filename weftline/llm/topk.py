@@ -1,26 +1,26 @@
 """Exact top-k search by inner product with MaxScore pruning, over integer vectors.
 
-A vector is a document whose terms are its dimensions. Per shard (one Arrow batch of candidates) and query, a term's contribution
+A vector is a document whose terms are its dimensions. Per shard of candidates and query, a term's contribution
 is bounded by the extremes of its posting list. Terms are split by these bounds: essential terms are the fewest
 whose absence leaves the rest unable to bring a document to the current k-th score; their postings are traversed for
 all documents. The non-essential terms are then probed, a few at a time, only for documents whose partial score plus the
 bounds of the terms still open reaches that score. Integer arithmetic makes the result exact.
 
-Queries come from the driver in blocks of fixed size, each broadcast once and run over all shards; a task keeps k rows a query.
+Queries stand in blocks and candidates in shards, both of bounded size; each block meets each shard in a task of its own, which keeps k
+rows a query, and shards' rows are merged by query. The plan is the same for one block and for a thousand, and no vector passes the driver.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from itertools import islice
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in one broadcast block: at 64 dimensions half a MB.
-BLOCK_QUERIES = 1024
+#: Most queries of a block and candidates of a shard, on average: at 64 dimensions 2 MB and 8 MB. Shards are smaller, though not below the least, where all cores would not have one.
+BLOCK_QUERIES, SHARD_ROWS, LEAST_ROWS = 4096, 16_384, 1024
+#: Candidates that are compared at a time, so that a query's bar of one part prunes the next.
+STEP_ROWS = 4096
 PROBED = 4
 
 
@@ -94,39 +94,35 @@ def top_k(vectors: DataFrame, queries: DataFrame, id_col: str = "vec_id", vector
     either side. Vectors of another length than the query count as ending in zeros. Repeated rows are candidates each; of queries
     with the same id one counts, the one with the smallest vector. Fewer candidates than k give fewer rows, no queries none.
     """
-    spark = vectors.sparkSession
     candidates = quantize(vectors, id_col, vector_col)
     asked = quantize(queries, id_col, vector_col).groupBy("id").agg(F.min("v").alias("v"))
-    found = None
-    rows = asked.toLocalIterator()
-    while part := list(islice(rows, block)):
-        own = np.array([r["id"] for r in part], np.int64)
-        dims = max((len(r["v"]) for r in part), default=0)
-        matrix = np.zeros((len(part), dims), np.int64)
-        for n, r in enumerate(part):
-            matrix[n, : len(r["v"])] = r["v"]
-        shared = spark.sparkContext.broadcast((own, matrix))
-
-        def search(batches: Iterator[pa.RecordBatch], shared=shared, k: int = k) -> Iterator[pa.RecordBatch]:
-            own, matrix = shared.value
-            ids = [np.zeros(0, np.int64)] * len(own)
-            scores = list(ids)
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                shard, postings = batch.column(0).to_numpy(), _matrix(batch.column(1), matrix.shape[1])
-                low, high = postings.min(axis=1, initial=0), postings.max(axis=1, initial=0)
-                for n in range(len(own)):
-                    bar = scores[n][-1] if len(scores[n]) == k else -np.inf
-                    new_ids, new = maxscore(matrix[n], own[n], shard, postings, low, high, k, bar)
-                    ids[n], scores[n] = _best(np.concatenate([ids[n], new_ids]), np.concatenate([scores[n], new]), k)
-            count = [len(x) for x in ids]
-            if sum(count):
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(own, count)), pa.array(np.concatenate(ids)), pa.array(np.concatenate(scores))], ["query_id", "id", "score"])
-
-        hits = candidates.mapInArrow(search, "query_id long, id long, score long")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = spark.createDataFrame([], "query_id long, id long, score long")
+    rows, wanted = candidates.count(), asked.count()
+    shards = max(1, -(-rows // SHARD_ROWS), min(vectors.sparkSession.sparkContext.defaultParallelism, rows // LEAST_ROWS))
+    blocks = max(1, -(-wanted // block))
+
+    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
+        own, column = asked["id"].to_numpy(), asked["v"].combine_chunks()
+        dims = max(column.value_lengths().to_pylist(), default=0)
+        matrix = np.ascontiguousarray(_matrix(column, dims).T)
+        ids = [np.zeros(0, np.int64)] * len(own)
+        scores = list(ids)
+        for at in range(0, held.num_rows if len(own) else 0, STEP_ROWS):
+            part = held.slice(at, STEP_ROWS).combine_chunks()
+            shard, postings = part["id"].to_numpy(), _matrix(part["v"].combine_chunks(), dims)
+            low, high = postings.min(axis=1, initial=0), postings.max(axis=1, initial=0)
+            for n in range(len(own)):
+                bar = scores[n][-1] if len(scores[n]) == k else -np.inf
+                new_ids, new = maxscore(matrix[n], own[n], shard, postings, low, high, k, bar)
+                ids[n], scores[n] = _best(np.concatenate([ids[n], new_ids]), np.concatenate([scores[n], new]), k)
+        none = np.zeros(0, np.int64)
+        columns = [np.repeat(own, [len(x) for x in ids]).astype(np.int64), np.concatenate([none, *ids]), np.concatenate([none, *scores])]
+        return pa.table(dict(zip(["query_id", "id", "score"], columns, strict=True)))
+
+    each = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    # Rows are dealt to shards by their place, so repeated ones part; every block has its copy of a shard and every shard its copy of a block.
+    dealt = candidates.select("id", "v", F.pmod(F.monotonically_increasing_id(), F.lit(shards)).cast("int").alias("shard")).select("*", each(blocks, "block"))
+    given = asked.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int").alias("block")).select("*", each(shards, "shard"))
+    pairs = given.groupBy("shard", "block").cogroup(dealt.groupBy("shard", "block"))
+    found = pairs.applyInArrow(search, "query_id long, id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", F.col("id").alias(id_col), "score")

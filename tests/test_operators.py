@@ -132,6 +132,18 @@ def test_first_seen_ids_are_dense(spark):
     assert got[0]["e"] == "0" and got[1]["e"] == "7"
 
 
+def test_first_seen_ids_do_not_depend_on_one_draw_of_ranges(spark):
+    # With several ranges, those of the sizes were drawn anew and differed, so ids had gaps and repeats.
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows = spark.range(0, 60_000, numPartitions=6).select((F.col("id") * 7919 % 60_013).alias("e"), F.col("id").alias("pos"))
+        got = first_seen_ids(rows, "e", ["pos"])
+        assert got.agg(F.count_distinct("idx"), F.min("idx"), F.max("idx")).first()[:] == (60_000, 0, 59_999)
+        assert got.join(rows, "e").where("idx <> pos").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_local_moves_find_two_cliques():
     clique = lambda ids: [(a, b, 1.0) for a in ids for b in ids if a < b]
     edges = clique(range(5)) + clique(range(5, 10)) + [(4, 5, 0.1)]

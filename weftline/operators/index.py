@@ -5,23 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from weftline.operators.stats import running_totals
+
 
 def first_seen_ids(rows: DataFrame, element: str, order: list[str], within: list[str] | None = None) -> DataFrame:
     """(within..., element, idx): ids from 0 in the order in which elements first appear, overall or in each group.
 
-    First appearances are found with map-side combine. Overall ids come from a sort by range and the sizes of the ranges before, so
-    no task holds all elements.
+    First appearances are found with map-side combine. Overall ids are running totals over written ranges, so no task holds all elements, and
+    ranges drawn from a sample are drawn once: two reads of an unwritten plan may cut the order at different places.
     """
     within = within or []
     first = rows.groupBy(*within, element).agg(F.min(F.struct(*order)).alias("__at"))
     if within:
         return first.select(*within, element, (F.row_number().over(Window.partitionBy(*within).orderBy("__at")) - 1).cast("long").alias("idx"))
-    ranged = first.repartitionByRange("__at").sortWithinPartitions("__at").withColumn("__part", F.spark_partition_id())
-    numbered = ranged.withColumn("__n", F.row_number().over(Window.partitionBy("__part").orderBy("__at")))
-    sizes = numbered.groupBy("__part").agg(F.max("__n").alias("__size"))
-    before = F.sum("__size").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
-    starts = sizes.select("__part", F.coalesce(before, F.lit(0)).alias("__start"))
-    return numbered.join(starts, "__part").select(element, (F.col("__start") + F.col("__n") - 1).cast("long").alias("idx"))
+    numbered = running_totals(first.withColumn("__one", F.lit(1).cast("long")), ["__at"], "__one")
+    return numbered.select(element, (F.col("upto") - 1).alias("idx"))
 
 
 def _pick(rows: DataFrame, key: list[str], order: list[str], best) -> DataFrame:

@@ -94,3 +94,23 @@ def test_ids_of_either_suffix(spark, tmp_path):
     (tmp_path / "none").mkdir()
     with pytest.raises(AnalysisException):
         readers.text_ids_in(spark, str(tmp_path / "none"))
+
+
+def test_bundled_clusters_are_the_same_rows_in_few_files(spark, tmp_path):
+    rows = lambda df: sorted((r["kind"], r["cluster_id"], r["id"], tuple(r["elements"])) for r in df.select("kind", "cluster_id", "id", "elements").collect())
+    members = members_of(spark).where("cluster_id IS NOT NULL").unionByName(spark.createDataFrame([(f"s_{k}", 1000 + k, 0, [k]) for k in range(60)], members_of(spark).schema))
+    writers.write_clusters(members, str(tmp_path / "one"), order=["at"])
+    writers.write_clusters(members, str(tmp_path / "many"), order=["at"], bundled=True)
+    assert rows(readers.read_clusters(spark, str(tmp_path / "many"), bundled=True)) == rows(readers.read_clusters(spark, str(tmp_path / "one")))
+    assert sorted(x for x in os.listdir(tmp_path / "many") if x.startswith("kind")) == ["kind=cluster", "kind=singleton"]
+    assert len(list((tmp_path / "many").rglob("*.json"))) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    lines = [json.loads(x) for f in sorted((tmp_path / "many" / "kind=cluster").glob("*.json")) for x in f.read_text().splitlines()]
+    assert [x["cluster_id"] for x in lines] == sorted(x["cluster_id"] for x in lines)
+
+
+def test_results_a_line_each(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    document = '{"Sequences":[{"Id":"s1","Cas":[],"Crisprs":[{"Name":"a1","Start":1,"End":9,"Evidence_Level":4,"CRISPRDirection":"+"}]}]}'
+    (tmp_path / "deep" / "x.txt").write_text(f"{document}\n{{broken\n{document.replace('a1', 'a2')}\n")
+    good, bad = readers.read_results(spark, str(tmp_path), pattern="*.txt", lines=True)
+    assert sorted(r["array_name"] for r in readers.calls_from_results(good).collect()) == ["a1", "a2"] and bad.count() == 1

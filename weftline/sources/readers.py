@@ -11,12 +11,13 @@ from weftline.operators.interval import gap
 from weftline.sources import schemas
 
 
-def read_results(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "result.json") -> tuple[DataFrame, DataFrame]:
+def read_results(spark: SparkSession, root: str, recursive: bool = True, pattern: str = "result.json", lines: bool = False) -> tuple[DataFrame, DataFrame]:
     """(source, Sequences of the readable documents; source of the broken ones).
 
     All files of that name at any depth, or result.json in Result_* folders one level down. A broken file costs its own rows only.
+    lines: a file holds a document a line, and a broken line costs its own rows only.
     """
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read.option("wholetext", not lines)
     if recursive:
         files = reader.option("recursiveFileLookup", True).option("pathGlobFilter", pattern).text(root)
     else:
@@ -140,8 +141,11 @@ def text_ids_in(spark: SparkSession, folder: str) -> DataFrame:
         return text_ids(spark, f"{folder}/*.fasta")
 
 
-def read_clusters(spark: SparkSession, path: str, cluster: str = "cluster_id") -> DataFrame:
-    """kind, cluster, id, elements (integers in order) of indexed text by cluster."""
+def read_clusters(spark: SparkSession, path: str, cluster: str = "cluster_id", bundled: bool = False) -> DataFrame:
+    """kind, cluster, id, elements (integers in order) of indexed text by cluster, a folder each or bundled."""
+    if bundled:
+        records = spark.read.schema(f"`{cluster}` string, value string, kind string").json(path)
+        return parse_indexed_text(records.withColumn(cluster, F.nullif(F.col(cluster), F.lit(""))), keep=["kind", cluster])
     records = spark.read.option("lineSep", ">").schema(f"value string, kind string, `{cluster}` string").text(path).where("trim(value) <> ''")
     return parse_indexed_text(records, keep=["kind", cluster])
 

@@ -21,11 +21,12 @@ def write_json_lines(rows: DataFrame, path: str) -> None:
     rows.write.mode("errorifexists").option("ignoreNullFields", "false").json(path)
 
 
-def write_clusters(members: DataFrame, path: str, cluster: str = "cluster_id", array_id: str = "id", elements: str = "elements", order: list[str] | None = None) -> None:
+def write_clusters(members: DataFrame, path: str, cluster: str = "cluster_id", array_id: str = "id", elements: str = "elements", order: list[str] | None = None, bundled: bool = False) -> None:
     """Indexed text by cluster, clusters of one array in a folder of their own: kind=singleton or kind=cluster, then the cluster's id.
 
     Clusters are in the string order of their names (g_10 before g_2), a cluster's arrays by `order` (by id if not given). Rows are dealt by
     ranges of that order, so a cluster of most rows is several files, whose names follow the order. Rows without a cluster are left out.
+    bundled: for very many clusters, whose folders would take most of the time; a folder a kind, in it JSON objects of a cluster's name and an array's text, a line each.
     """
     sizes = members.groupBy(cluster).agg(F.count(F.lit(1)).alias("__n"))
     keys = {f"__o{k}": F.col(c) for k, c in enumerate(order or [array_id])}
@@ -33,10 +34,13 @@ def write_clusters(members: DataFrame, path: str, cluster: str = "cluster_id", a
     text = indexed_text(F.coalesce(F.col(array_id).cast("string"), F.lit("")), F.coalesce(F.col(elements), F.array().cast("array<string>"))).alias("value")
     rows = members.join(sizes, cluster).withColumns(keys).select(kind, named, *keys, text)
     ranged = rows.repartitionByRange("kind", cluster, *keys).sortWithinPartitions("kind", cluster, *keys)
+    if bundled:
+        ranged.select("kind", cluster, "value").write.mode("errorifexists").partitionBy("kind").json(path)
+        return
     ranged.select("kind", cluster, "value").write.mode("errorifexists").partitionBy("kind", cluster).text(path)
 
 
-def replace_oversized(members: DataFrame, parts: DataFrame, path: str, most: int, dry_run: bool = False, cluster: str = "cluster_id", array_id: str = "id", elements: str = "elements") -> DataFrame:
+def replace_oversized(members: DataFrame, parts: DataFrame, path: str, most: int, dry_run: bool = False, cluster: str = "cluster_id", array_id: str = "id", elements: str = "elements", bundled: bool = False) -> DataFrame:
     """cluster, n, action (keep or split) and pieces of every cluster; unless dry_run, the clusters are written anew to `path`, those above `most` as their parts.
 
     parts: cluster, id, part of the arrays of large clusters; part p of g is named g_p. An array of a large cluster without a part stays under
@@ -48,7 +52,7 @@ def replace_oversized(members: DataFrame, parts: DataFrame, path: str, most: int
     name = F.when(large & F.col("__part").isNotNull(), F.concat_ws("_", F.col(cluster).cast("string"), F.col("__part").cast("string"))).otherwise(F.col(cluster).cast("string"))
     named = named.withColumn("__name", name)
     if not dry_run:
-        write_clusters(named.select(F.col("__name").alias(cluster), array_id, elements), path, cluster, array_id, elements)
+        write_clusters(named.select(F.col("__name").alias(cluster), array_id, elements), path, cluster, array_id, elements, bundled=bundled)
     per_name = named.groupBy(cluster, "__name").agg(F.count(F.lit(1)).alias("k"), F.max("__n").alias("__n"))
     return per_name.groupBy(cluster).agg(F.sum("k").alias("n"), F.max(F.when(large, "split").otherwise("keep")).alias("action"), F.count(F.lit(1)).alias("pieces"))
 

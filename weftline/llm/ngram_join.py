@@ -22,6 +22,7 @@ most pairs that are not linked; the others are compared token by token. Lists of
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -46,6 +47,10 @@ BROADCAST_IDS = 500_000
 BRIEF, ROUNDS = 16, 1
 #: Members of a list for each part it is dealt over where all members meet.
 LIST_PART = 4_096
+#: Lists that a node names where all members meet: its smallest keys, by which a pair is told once and not in each list it shares.
+NAMED_LISTS = 16
+#: Passes over the index, a column of keys each, so that only this share of it is on its way at a time.
+PASSES = 4
 #: Names of sets that a task remembers so as to index a set once; the rest is left to the lists.
 SEEN_NAMES = 500_000
 
@@ -207,12 +212,14 @@ def allocate(texts: DataFrame, n_docs: int, n_words: int, percent: int, frequent
 
 
 def summarize(texts: DataFrame, plan: Plan, n_words: int, seed: int, frequent: np.ndarray) -> DataFrame:
-    """A row a document: id, at (hash of its text), n, node and check (names of its set), and once a task for each set its sketches (brief, and sketch if that says more) and its keys, those of frequent tokens apart.
+    """A row a document: id, at (hash of its text), n, node and check (names of its set), and once a task for each set its sketches (brief, and sketch if that says more) and its keys, dealt over PASSES columns, those of frequent tokens apart.
 
     short: the keys don't suffice.
     """
     shared = texts.sparkSession.sparkContext.broadcast(frequent)
     turn = np.uint64(seed)
+    columns = [f"keys{p}" for p in range(PASSES)]
+    none = [None] * (PASSES + 3)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: set[int] = set()
@@ -223,11 +230,11 @@ def summarize(texts: DataFrame, plan: Plan, n_words: int, seed: int, frequent: n
                     tokens = np.sort(mix(tokens ^ turn))
                 n = len(tokens)
                 if not n:
-                    rows.append((0, 0, 0, False, None, None, None, None))
+                    rows.append((0, 0, 0, False, *none))
                     continue
                 node, check = name(tokens, seed)
                 if node in seen:
-                    rows.append((n, node, check, False, None, None, None, None))
+                    rows.append((n, node, check, False, *none))
                     continue
                 if len(seen) < SEEN_NAMES:
                     seen.add(node)
@@ -235,14 +242,15 @@ def summarize(texts: DataFrame, plan: Plan, n_words: int, seed: int, frequent: n
                 keys = np.concatenate([k[: len(k) - often] for k, often, _ in found])
                 dear = np.concatenate([k[len(k) - often :] for k, often, _ in found])
                 full = sketch(tokens) if 2 * n > 64 * BRIEF else None
-                rows.append((n, node, check, not all(x[2] for x in found), sketch(tokens, BRIEF), full, _signed(keys), _signed(dear)))
-            out = pd.DataFrame(rows, columns=["n", "node", "check", "short", "brief", "sketch", "keys", "dear"])
+                each = keys % np.uint64(PASSES)
+                rows.append((n, node, check, not all(x[2] for x in found), sketch(tokens, BRIEF), full, _signed(dear), *(_signed(keys[each == p]) for p in range(PASSES))))
+            out = pd.DataFrame(rows, columns=["n", "node", "check", "short", "brief", "sketch", "dear", *columns])
             out.insert(0, "at", batch["at"].to_numpy())
             out.insert(0, "id", batch["id"].to_numpy())
             yield out
 
     # Ids travel through Python as text: beside a null, pandas would round large ones.
-    kinds = "id string, at long, n long, node long, check long, short boolean, brief array<long>, sketch array<long>, keys array<long>, dear array<long>"
+    kinds = "id string, at long, n long, node long, check long, short boolean, brief array<long>, sketch array<long>, dear array<long>, " + ", ".join(f"{c} array<long>" for c in columns)
     return texts.select(F.col("id").cast("string").alias("id"), F.xxhash64("text").alias("at"), "text").mapInPandas(run, kinds).withColumn("id", F.col("id").cast("long"))
 
 
@@ -310,6 +318,22 @@ def _labels(rows: DataFrame, found: DataFrame) -> DataFrame:
     return rows.join(found.withColumnRenamed("component", "__c"), "node", "left").withColumn("component", F.coalesce("__c", "node")).drop("__c")
 
 
+def members_met(rest: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """a, b of the members of lists (key, node, component, and k, the list's members) that are in different components and may be linked by nodes' n and brief.
+
+    A list is dealt over k / LIST_PART parts, each of which meets all of it: the comparisons of a long list are many tasks' work. A pair that
+    shares many lists passes in the first that both name; where both name none in common it passes in each.
+    """
+    named = rest.groupBy("node").agg(F.slice(F.sort_array(F.collect_set("key")), 1, NAMED_LISTS).alias("named"))
+    of = rest.withColumn("parts", F.expr(f"int(ceil(k / {LIST_PART}))")).join(named, "node").join(nodes.select("node", "n", "brief"), "node")
+    part, each = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    one = of.select("key", part.alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("brief").alias("sa"), F.col("named").alias("la"))
+    other = of.select(F.col("key").alias("other"), each.alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("brief").alias("sb"), F.col("named").alias("lb"))
+    first = F.coalesce(F.array_min(F.array_intersect("la", "lb")) >= F.col("key"), F.lit(True))
+    apart = (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb"))
+    return one.join(other, (one["key"] == other["other"]) & (one["part"] == other["part"]) & apart & may_link(percent) & first).select("a", "b")
+
+
 def link_lists(members: DataFrame, links: DataFrame, tested: DataFrame, nodes: DataFrame, percent: int, compare: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, component) once every two members (key, node) of a list are in one component, cannot be linked by size and sketch, or have been compared.
 
@@ -345,29 +369,28 @@ def link_lists(members: DataFrame, links: DataFrame, tested: DataFrame, nodes: D
             break
         discard(found, spans)
         found = components(links, "a", "b")
-    # A list of k members is dealt over k / LIST_PART parts, each of which meets all of it: the comparisons of a long list are many tasks' work.
-    rest = rest.join(spans.select("key", F.expr(f"int(ceil(k / {LIST_PART}))").alias("parts")), "key").join(nodes.select("node", "n", "brief"), "node")
-    part, each = F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
-    one = rest.select("key", part.alias("part"), F.col("node").alias("a"), F.col("component").alias("ca"), F.col("n").alias("na"), F.col("brief").alias("sa"))
-    other = rest.select("key", each.alias("part"), F.col("node").alias("b"), F.col("component").alias("cb"), F.col("n").alias("nb"), F.col("brief").alias("sb"))
-    met = one.join(other, (one["key"] == other["key"]) & (one["part"] == other["part"]) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & may_link(percent))
-    pairs = materialize(met.select("a", "b").distinct().join(tested, ["a", "b"], "left_anti"), "new")
+    rest = materialize(rest.join(spans.select("key", "k"), "key"), "rest")
+    met = members_met(rest, nodes, percent)
+    pairs = materialize(met.distinct().join(tested, ["a", "b"], "left_anti"), "new")
     more = compare(pairs)
     both = materialize(links.unionByName(more), "links")
-    discard(spans, pairs, more, links, found, tested)
+    discard(spans, rest, pairs, more, links, found, tested)
     found = components(both, "a", "b")
     discard(both)
     return found
 
 
-def _lists(sets: DataFrame) -> DataFrame:
-    """key, salt, hub, node: every two sets that share a key stand under its smallest node, the hub, which is listed too if the key is salted.
+def _lists(sets: DataFrame) -> list[DataFrame]:
+    """key, salt, hub, node, written, a frame a pass: every two sets that share a key stand under its smallest node, the hub, which is listed too if the key is salted.
 
-    Keys of frequent tokens are dealt over SALTS lists each.
+    Keys of frequent tokens are dealt over SALTS lists each, in a pass of their own.
     """
-    index = sets.select(F.explode("keys").alias("key"), F.lit(0).alias("salt"), "node").unionByName(
-        sets.select(F.explode("dear").alias("key"), (F.pmod("node", F.lit(SALTS)) + 1).cast("int").alias("salt"), "node")
-    )
+    passes = [sets.select(F.explode(f"keys{p}").alias("key"), F.lit(0).alias("salt"), "node") for p in range(PASSES)]
+    passes.append(sets.select(F.explode("dear").alias("key"), (F.pmod("node", F.lit(SALTS)) + 1).cast("int").alias("salt"), "node"))
+    return [materialize(_met(index), "lists") for index in passes]
+
+
+def _met(index: DataFrame) -> DataFrame:
     order = Window.partitionBy("key", "salt").orderBy("node")
     met = index.withColumns({"hub": F.first("node").over(order), "before": F.lag("node").over(order)})
     return met.where("before <> node OR (before IS NULL AND salt > 0)").select("key", "salt", "hub", "node")
@@ -401,7 +424,8 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         # Two different sets have one 64-bit name, or a set has too few segments: hash anew, set nothing aside.
         seed, plan = seed + 1, Plan(percent)
         discard(sets, nodes)
-    grouped = materialize(_lists(sets.where("keys IS NOT NULL")), "lists")
+    lists = _lists(sets.where("dear IS NOT NULL"))
+    grouped = reduce(DataFrame.unionByName, lists)
     ids = materialize(sets.select("id", "at", "n", "node"), "ids")
     discard(sets)
     repeats = ids.where("n > 0").groupBy("id", "at").agg(F.count(F.lit(1)).alias("k")).where("k > 1").limit(1).count() > 0
@@ -431,7 +455,7 @@ def jaccard_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     # A list's hub has met all of it; a salted list's hub has not met the members of the key's other lists.
     members = grouped.where("salt > 0 OR hub <> node").select("key", "node")
     found = link_lists(members, both, near.select("a", "b"), nodes, percent, compare)
-    discard(grouped, near)
+    discard(*lists, near)
     of_node = _labels(nodes.select("node", "least"), found)
     smallest = of_node.groupBy("component").agg(F.min("least").alias("o"))
     named = materialize(of_node.join(smallest, "component").select("node", F.col("o.id").alias("component_id"), F.col("o.at").alias("keep_hash")), "named")

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from weftline.llm.words import M3, in_parts, mix, shingle_sets
 from weftline.operators.graph import components
-from weftline.runtime import discard, materialize, on_workers
+from weftline.runtime import discard, materialize, on_workers, release
 
 #: Sizes at which bands begin, by rule: 1, 6, then four times the one before.
 FIRST, RATIO, BANDS = 6, 4, 16
@@ -222,6 +222,7 @@ def summarize(texts: DataFrame, plan: Plan, n_words: int, seed: int, frequent: n
     none = [None] * (PASSES + 3)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        release()
         seen: set[int] = set()
         for batch in in_parts(batches):
             rows = []

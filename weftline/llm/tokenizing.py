@@ -11,7 +11,8 @@ from __future__ import annotations
 import os
 import re
 from array import array
-from functools import lru_cache
+
+from weftline.runtime import kept
 
 #: White space as the byte-level pre-tokenizer's \s has it (Unicode White_Space; fixed values).
 _WS = "\t-\r \x85\xa0  -     　"
@@ -72,10 +73,9 @@ class _Store(dict):
         return b"".join(map(self.__getitem__, chunks(text)))
 
 
-@lru_cache(maxsize=4)
 def store(path: str) -> _Store:
     """The process's store for a tokenizer file; Python workers that are used again keep it between tasks."""
-    return _Store(path)
+    return kept(("tokens", path), lambda: _Store(path))
 
 
 def default_tokenizer() -> str:

@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftline.runtime import kept
+
 #: Labelled rows of each class that the fit reads at most, the first ones by a hash of their ids.
 MOST_TOXIC, MOST_CLEAN = 1000, 2000
 WINDOW, DIM, BUCKETS, GRAMS = 32, 8, 1 << 19, (3, 4, 5, 6)
@@ -247,12 +249,6 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     return scored.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
-_KEPT: dict[str, _Weights] = {}
-
-
 def _stored(name: str, shared) -> _Weights:
     """The process's word weights for the model of that name, kept between tasks."""
-    if name not in _KEPT:
-        _KEPT.clear()
-        _KEPT[name] = _Weights(shared.value)
-    return _KEPT[name]
+    return kept(("toxicity", name), lambda: _Weights(shared.value))
